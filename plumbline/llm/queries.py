@@ -4,22 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, mixing, quality
 from .common import documents
 from .packing import pack
 from .token_counts import token_counts
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", r"r'\### Assistant: </turn> ok' AS text")
+    return chat.read_back(chat.format_chat(turns.unionByName(tricky)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), keep_ids=False)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), quality.BASE, "base_ok")
+    return quality.apply_policy(found, quality.V1).withColumn("base_failed", ~found["base_ok"]).drop("base_ok")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op3_packing": op3_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_chat_format": chat.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+}
