@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality
+from . import chat, language_id, lz_fingerprint, mixing, quality
 from .common import documents
 from .packing import pack
 from .token_counts import token_counts
@@ -20,6 +20,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), keep_ids=False)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs.where(~language_id.held_out(docs["doc_id"]))))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), quality.BASE, "base_ok")
     return quality.apply_policy(found, quality.V1).withColumn("base_failed", ~found["base_ok"]).drop("base_ok")
@@ -33,12 +38,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
+    "op10_lz_fingerprint": op10_lz_fingerprint,
 }
 
 ORACLE: dict[str, str] = {
