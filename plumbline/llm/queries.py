@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, language_id, lz_fingerprint, mixing, quality
+from . import chat, language_id, lz_fingerprint, mixing, quality, simhash
 from .common import documents
 from .packing import pack
 from .token_counts import token_counts
@@ -16,6 +17,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(tricky)))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), keep_ids=False)
 
@@ -44,6 +50,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
