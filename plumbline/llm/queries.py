@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, lz_fingerprint, mixing, quality, simhash
+from . import chat, language_id, lz_fingerprint, mixing, pii, quality, simhash
 from .common import documents
 from .packing import pack
 from .token_counts import token_counts
@@ -40,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op10_lz_fingerprint": op10_lz_fingerprint,
 }
