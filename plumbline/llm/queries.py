@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, lz_fingerprint, mixing, pii, quality, simhash
+from . import chat, exact_substrings, language_id, lz_fingerprint, mixing, pii, quality, simhash
 from .common import documents
 from .packing import pack
 from .token_counts import token_counts
@@ -48,6 +48,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op9_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
+    "op9_exact_substrings": op9_exact_substrings,
     "op10_lz_fingerprint": op10_lz_fingerprint,
 }
 
