@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +31,6 @@ def n_words(column) -> F.Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """mapInArrow, whose function is shipped once and called once for each partition."""
-    return df.mapInArrow(fn, schema)
-
-
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema)],
@@ -69,10 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hex64(values: np.ndarray) -> list[str]:
-    """Unsigned 64-bit values as 16 hex digits."""
-    s = values.astype(">u8").tobytes().hex()
-    return [s[i : i + 16] for i in range(0, len(s), 16)]
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, and read from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
