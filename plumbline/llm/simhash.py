@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Batches, ascii_lower, batch, cut, text_bytes, words_of
 
@@ -286,7 +287,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     again = found.groupBy("doc_id", "fp").count().where("count > 1").limit(1).count() > 0
     text_name = f"own_{df.columns.index(text_col)}"
     own = df.select(*(df[c].alias(f"own_{i}") for i, c in enumerate(df.columns)), df[id_col].cast("long").alias("key_id"))
-    marked = own.mapInArrow(_append_fp(text_name), own.schema.add("fp", "long"))
+    marked = own.mapInArrow(_append_fp(text_name), StructType([*own.schema.fields, StructField("fp", LongType())]))
     kept = marked.join(best.hint("shuffle_hash"), marked["key_id"].eqNullSafe(best["keep_id"]) & (marked["fp"] == best["keep_fp"]), "left_semi")
     if again:
         kept = kept.dropDuplicates(["key_id", "fp"])
