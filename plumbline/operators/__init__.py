@@ -1,6 +1,6 @@
 """Runnable operators, by query name, and DuckDB SQL for each."""
 
-from . import applied, relational
+from . import applied, lineage, relational
 
-QUERIES = {**relational.QUERIES, **applied.QUERIES}
-ORACLE = {**relational.ORACLE, **applied.ORACLE}
+QUERIES = {**relational.QUERIES, **applied.QUERIES, **lineage.QUERIES}
+ORACLE = {**relational.ORACLE, **applied.ORACLE, **lineage.ORACLE}
