@@ -208,3 +208,30 @@ SELECT level, count(*) AS n FROM (SELECT node, max(level) AS level FROM t GROUP
 
 
 ORACLE |= {name: _values(columns, rows) for name, (columns, rows) in expected.ROWS.items()}
+
+
+def _walk(start: list[str], back: bool, edges: list[tuple[str, str]] = expected.EDGES) -> str:
+    """e (src, dst) and t (start, node, depth), every walk from the starts, as DuckDB's recursion finds them."""
+    e = [(b, a) for a, b in edges] if back else edges
+    listed = ", ".join(f"('{a}', '{b}')" for a, b in e)
+    starts = ", ".join(f"('{s}')" for s in start)
+    return f"""WITH RECURSIVE e(src, dst) AS (VALUES {listed}), s(node) AS (VALUES {starts}),
+w(start, node, depth) AS (SELECT node, node, 0 FROM s UNION SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON w.node = e.src WHERE w.depth < 30),
+t AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY start, node)
+"""
+
+
+_NODES = sorted({n for e in expected.TABLE_EDGES for n in e})
+ORACLE |= {
+    "lineage_trace_backward": _walk(["mart.revenue.revenue"], True) + "SELECT node AS source, depth FROM t WHERE node NOT IN (SELECT src FROM e)",
+    "lineage_trace_forward": _walk(["lineitem.l_discount"], False) + "SELECT node AS sink, depth FROM t WHERE node NOT IN (SELECT src FROM e)",
+    "lineage_full_backward": _walk(["mart.nation.revenue"], True) + "SELECT node, depth FROM t",
+    "lineage_full_forward": _walk(["customer.c_name", "orders.o_orderkey"], False) + "SELECT start, node, depth FROM t",
+    "lineage_shortest_path": _walk(["lineitem.l_extendedprice"], False)
+    + ", p(node, path, length) AS (SELECT 'lineitem.l_extendedprice', 'lineitem.l_extendedprice', 0 UNION ALL SELECT e.dst, p.path || ' > ' || e.dst, p.length + 1 FROM p JOIN e ON p.node = e.src) SELECT path, length FROM p WHERE node = 'mart.nation.revenue' ORDER BY length, path LIMIT 1",
+    "graph_simplify": _walk([n for n in sorted({a for a, _ in expected.EDGES}) if n.startswith("lineitem.")], False)
+    + ", i(start, node) AS (SELECT s.node, e.dst FROM s JOIN e ON e.src = s.node UNION SELECT i.start, e.dst FROM i JOIN e ON e.src = i.node WHERE i.node LIKE '%:%') SELECT start AS src, node AS dst FROM i WHERE node NOT LIKE '%:%'",
+    "graph_sources_sinks": _walk(_NODES, False, expected.TABLE_EDGES) + "SELECT node, node NOT IN (SELECT dst FROM e) AS is_source, node NOT IN (SELECT src FROM e) AS is_sink FROM s",
+    "table_topo_levels": _walk([n for n in _NODES if n not in {b for _, b in expected.TABLE_EDGES}], False, expected.TABLE_EDGES) + "SELECT node, max(depth) AS level FROM w GROUP BY node",
+    "pipeline_split": _walk(["staging.orders", "mart.nation"], True, expected.TABLE_EDGES) + "SELECT node, min(CASE start WHEN 'staging.orders' THEN 0 ELSE 1 END) AS part FROM t GROUP BY node",
+}
