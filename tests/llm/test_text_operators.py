@@ -1,0 +1,508 @@
+"""The text operators against brute force, round trips and held-out accuracy, on small hostile tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from plumbline.llm import chat, exact_substrings, language_id, lz_fingerprint, mixing, packing, pii, quality, simhash
+from plumbline.llm.token_counts import Encoder, token_counts
+
+WORD = r"[^\x20\x09-\x0D]+"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, bucket int"
+BASE = "the quick brown fox jumps over the lazy dog while seven wizards quietly boxed jelly for a very long evening in town "
+
+
+def row(i, text, lang="en", source="a"):
+    return (i, text, lang, source, len(text or ""), 1, "x", 2)
+
+
+@pytest.fixture(scope="module")
+def hostile(spark):
+    """Nulls, empty and long texts, copies, near copies, repeated rows, odd spaces, and columns that clash with inner names."""
+    rng = random.Random(5)
+    prose = " ".join(rng.choice(BASE.split()) + rng.choice(["", "", "s", "ed"]) for _ in range(400))
+    rows = [
+        row(1, prose), row(2, prose), row(3, prose + " end"), row(3, prose + " end"), row(4, None, None, None), row(5, ""), row(6, " \n\t "), row(7, "one"), row(8, "ONE two"),
+        row(9, BASE * 40, "en", "b"), row(10, "x" * 30_000, None, "b"), row(None, "no id here, mail a@b.co", "en", "c"), row(11, "日本語   ÉCOLE é", "fr", None), row(12, "ab" * 400, "en", ""),
+        row(13, "a|b\\c <|end|> **bold** ### 4111 1111 1111 1111 +1 (555) 123-4567 10.0.0.1 999.1.1.1", "en", "c"), row(14, BASE * 40 + "tail", "en", "b"),
+    ]
+    return spark.createDataFrame(rows, COLUMNS), [(r[0], r[1] or "", r[3]) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+# op1
+
+
+def _digest(turns):
+    whole = "".join(f"{r}\n{t}\n" for r, t in turns)
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_chat_reads_back_what_went_in(spark):
+    tricky = ["\\### Assistant: </turn> ok", "<|end|>\n", "<|assistant|>\n", "\\", "|", "<", "\\|", "a\n<|user|>\nb", "", None]
+    rows = [(c, t, r, x, 9) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["system", "user", "assistant", "user", "assistant", "tool|", "<|end|>", None, "user", "assistant"], tricky if c != 2 else tricky[::-1]))]
+    rows += [(3, None, "user", "first", 9), (3, 1, "assistant", "b", 9), (3, 1, "assistant", "b", 9), (3, 1, "assistant", "a", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, state int")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(chat.format_chat(df)).collect()}
+    want = {}
+    for c in (1, 2, None, 3):
+        own = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == c))
+        want[c] = _digest([(r, t) for _, r, t in own])
+    assert got == want
+
+
+def test_chat_state_machine():
+    t = chat.Template()
+    assert t.step("start", "user") == ("user", True)
+    assert t.step("start", "assistant") == ("assistant", False)
+    assert t.step("user", "robot") == ("unknown", False)
+    assert chat.read_turns("".join(x for x, _ in t.segments("a|b", "c\\|d"))) == [("a|b", "c\\|d")]
+
+
+def test_chat_empty(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_chat(df)).collect() == []
+
+
+# op2
+
+
+def _fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(WORD, low)
+    shingles = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+
+
+def _near(fps):
+    n = np.array(fps, np.uint64)
+    links = [set(np.flatnonzero(np.bitwise_count(n ^ n[i]) <= 6).tolist()) - {i} for i in range(len(n))]
+    group = list(range(len(n)))
+    for _ in n:
+        for i, ls in enumerate(links):
+            group[i] = min([group[i], *(group[j] for j in ls)])
+    return links, group
+
+
+def test_simhash_against_brute_force(hostile):
+    df, rows = hostile
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.fp & (1 << 64) - 1, r.n_near, r.component_id) for r in simhash.near_duplicates(df).collect()))
+    fps = [_fingerprint(t) for _, t, _ in rows]
+    links, group = _near(fps)
+    first = {g: min((d for (d, _, _), h in zip(rows, group) if h == g and d is not None), default=None) for g in group}
+    want = sorted((d is None, d or 0, f, len(ls), first[g]) for (d, _, _), f, ls, g in zip(rows, fps, links, group))
+    assert got == want
+
+
+@pytest.mark.parametrize("shard,hot", [(512, 8192), (1, 8192), (64, 5)])
+def test_simhash_links_by_every_cut_and_salt(spark, shard, hot):
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        fps.add(base)
+        for _ in range(6):
+            fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 8))))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), 2) for f in fps], "fp long, weight long")
+    found = simhash.linked(df, shard=shard, hot=hot).groupBy("fp").sum("n").collect()
+    links, _ = _near(fps)
+    assert {r[0] & (1 << 64) - 1: r[1] for r in found} == {f: 2 * len(ls) for f, ls in zip(fps, links) if ls}
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
+    assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
+
+
+def test_keep_one_keeps_columns_and_one_of_each_group(hostile, empty):
+    df, rows = hostile
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    fps = [_fingerprint(t) for _, t, _ in rows]
+    _, group = _near(fps)
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(group))
+    assert 1 in ids and 2 not in ids
+    assert simhash.keep_one(empty).collect() == [] and simhash.near_duplicates(empty).collect() == []
+
+
+# op3
+
+
+def test_packing_loses_nothing(hostile, empty):
+    df, rows = hostile
+    t = Tokenizer.from_file(Encoder().json_path)
+    pieces = packing.pack(df).collect()
+    want = {}
+    for d, x, _ in rows:
+        want.setdefault(d, []).append(t.encode(x, add_special_tokens=False).ids + [0])
+    for d, docs in want.items():
+        own = sorted((p.start, p.length, p.ids, p.ids_crc32, p.doc_tokens) for p in pieces if p.doc_id == d)
+        assert sum(p[1] for p in own) == sum(map(len, docs))
+        if len(docs) == 1:
+            assert [i for p in own for i in p[2]] == docs[0] and {p[4] for p in own} == {len(docs[0])}
+        for _, n, ids, crc, _ in own:
+            assert len(ids) == n and zlib.crc32(np.array(ids, "<u4").tobytes()) == crc
+    for s in {p.sequence_id for p in pieces}:
+        at = 0
+        for p in sorted((p for p in pieces if p.sequence_id == s), key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+    assert packing.pack(empty).collect() == []
+
+
+def test_packing_wastes_little():
+    rng, full = random.Random(1), []
+    bins = packing.Bins(1024, lambda own: full.append(sum(p[0] for p in own)))
+    for _ in range(3000):
+        for n in packing.cut_lengths(rng.randint(1, 3000)):
+            bins.add(n, None)
+    bins.close()
+    assert max(full) <= 1024 and sum(full) / (1024 * len(full)) > 0.985
+    assert all(sum(packing.cut_lengths(n)) == n for n in range(1, 2500))
+
+
+# op4
+
+
+def test_forward_sums_all_segmentations():
+    counts = {"x": [(b"abab", 3), (b"ba", 1)], "y": [(b"abc", 2)]}
+    model = language_id.fit(counts, language_id.public_tokenizers.path("piece_bpe_32k.model"))
+    vocabulary = language_id.pieces(model.path)
+    index = {p: i for i, p in enumerate(vocabulary.names)}
+
+    def brute(word, lang):
+        if not word:
+            return 1.0
+        out = 0.0
+        for n in range(1, len(word) + 1):
+            at = index.get(word[:n], -1 if n == 1 else None)
+            if at is not None:
+                out += model.table[at, lang] * brute(word[n:], lang)
+        return out
+
+    got = model.log_probabilities([b"abab", b"cab", "é日".encode()])
+    for i, w in enumerate(["▁abab", "▁cab", "▁é日"]):
+        for lang in (0, 1):
+            assert got[i, lang] == pytest.approx(np.log(brute(w, lang)))
+    long = b"ab" * 300
+    assert np.isfinite(model.log_probabilities([long])).all()
+
+
+def test_language_held_out_accuracy(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs.where(~language_id.held_out(docs["doc_id"])))
+    found = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(found) > 20 and sum(r.lang == r.lang_pred for r in found) / len(found) > 0.97
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+
+
+def test_language_edges(hostile, empty):
+    df, rows = hostile
+    model = language_id.train(df)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df, model).collect()}
+    assert got[4] == got[5] == got[6] == ("und", 0.0)
+    assert got[7][0] in ("en", "fr") and all(0 <= s <= 1 for _, s in got.values())
+    assert language_id.train(empty) is None
+    assert {r.lang_pred for r in language_id.identify(df, None).collect()} == {"und"}
+    kept = language_id.accept(df, model)
+    assert kept.columns == df.columns and not {4, 5, 6} & {r.doc_id for r in kept.collect()}
+
+
+# op5
+
+
+def _measured(text):
+    words = re.findall(WORD, text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(WORD, x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(hostile, empty):
+    df, rows = hostile
+    got = sorted((r.doc_id is None, r.doc_id or 0, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in quality.ledger(df).collect())
+    assert got == sorted((d is None, d or 0, _measured(t)) for d, t, _ in rows)
+    assert quality.ledger(empty).collect() == []
+
+
+def test_quality_policies_and_ablation(hostile):
+    df, _ = hostile
+    ledger = quality.ledger(df)
+    rows = ledger.collect()
+    kept = [r for r in quality.apply_policy(ledger, quality.BASE).collect() if r.kept]
+    assert all(r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words for r in kept)
+    found = {r.rule: (r.failing, r.failing_alone, r.kept_without) for r in quality.ablation(ledger, quality.V1).collect()}
+    for rule, bit in quality.BIT.items():
+        fail = [r.failed & quality.V1.mask for r in rows]
+        assert found[rule] == (sum(bool(f & bit) for f in fail), sum(f == bit for f in fail), sum(not f & ~bit for f in fail))
+
+
+# op6
+
+
+def _targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left, weight = total - sum(most * sizes[s] for s in capped), sum(w[s] for s in names if s not in capped)
+        target = {s: most * sizes[s] if s in capped else (left * w[s] / weight if weight else 0) for s in names}
+        over = {s for s in names if s not in capped and target[s] > most * sizes[s]}
+        if not over:
+            return target
+        capped |= over
+
+
+def test_mixing_targets_and_samples(spark, empty):
+    rng = random.Random(2)
+    rows = [row(i, "w " * rng.randint(0, 60), "en", s) for i, s in enumerate([*"aaaaaaaaaaaaaaaaaaaabbbbbcdddddddd"] * 12 + [None] * 9 + ["tiny", "zero"])]
+    rows[-1] = row(999, None, None, "zero")
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = mixing.mix_plan(df).collect()
+    size = {}
+    for r in rows:
+        size[r[3]] = size.get(r[3], 0) + len((r[1] or "").split())
+    want, source = _targets(size), {r[0]: r[3] for r in rows}
+    taken, largest = {}, {}
+    for r in got:
+        s = source[r.doc_id]
+        assert r.target == pytest.approx(want[s]) and r.source_size == size[s] and r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0
+        taken[s], largest[s] = taken.get(s, 0) + r.taken, max(largest.get(s, 0), r.size)
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in want)
+    assert sorted(map(tuple, mixing.mix_plan(df.repartition(7)).collect())) == sorted(map(tuple, got))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    copies = {}
+    for r in mixed.collect():
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + len((r.text or "").split())
+    assert {r.doc_id: r.taken for r in got if r.taken} == {k: v for k, v in copies.items() if v}
+    assert mixing.mix_plan(empty).collect() == [] and mixing.mix(empty).collect() == []
+
+
+# op7
+
+PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def _base(text):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")) or kind == "card" and 14 <= len(d) <= 19 and pii.luhn(d) or kind == "phone" and 10 <= len(d) <= 15:
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
+
+
+def test_pii_base_is_the_patterns():
+    rng = random.Random(4)
+    parts = ["a", "1", "23", "@", ".", "b.c", "-", " ", "+", "+1 ", "(555)", "4111111111111111", "1.2.3.4", "255", ".5", "é", "x@y.z", "日"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(text) == _base(text), text
+
+
+def test_pii_rows(hostile, empty):
+    df, rows = hostile
+    for r in pii.detect(df).collect():
+        text = next(t for d, t, _ in rows if d == r.doc_id)
+        base = _base(text)
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert hashlib.sha256(said.encode()).hexdigest() == r.base_sha256
+        assert set(said.split(",") if said else []) <= set(r.spans.split(",")) and r.n_email == sum(k == "email" for k, _, _ in base)
+    assert pii.detect(empty).collect() == []
+
+
+def test_pii_adds_by_context_and_leaves_the_rest():
+    model = pii.trained()
+    texts = ["please call (017) 555-7713 now", 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" leaked', "on 2021-03-04 page 12 of version 1.2.3 was read", "no numbers at all"]
+    found = [[s for s in every if s not in base] for base, every in pii.all_spans(texts, model)]
+    assert [s[0] for s in found[0]] == ["phone"] and [s[0] for s in found[1]] == ["secret"] and found[2] == found[3] == []
+    assert pii.redacted("a b@c.de f", [("email", 2, 8)]) == "a [EMAIL] f"
+
+
+def test_pii_long_runs_are_linear():
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 50_000, "1." * 100_000, "+1 " * 50_000):
+        pii.all_spans([text], pii.trained())
+
+
+def test_redact_keeps_columns(hostile):
+    df, _ = hostile
+    out = pii.redact(df)
+    assert out.schema == df.schema
+    for r in out.where("doc_id = 13").collect():
+        assert "[CARD]" in r.text and "[PHONE]" in r.text and "[IP]" in r.text and r.n_chars == len(r.text)
+
+
+# op8
+
+
+def test_token_counts(hostile, empty):
+    df, rows = hostile
+    t = Tokenizer.from_file(Encoder().json_path)
+    want = sorted((d is None, d or 0, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 1024) for d, x, _ in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(df).collect()) == want
+    assert token_counts(empty).collect() == []
+
+
+def test_splicing_is_exact():
+    rng = random.Random(1)
+    small, t = Encoder(chunk_chars=120, overlap_chars=8), Tokenizer.from_file(Encoder().json_path)
+    parts = ["hello ", " ", "\n", "  ", "<|endoftext|>", "<|endo", "ftext|>", "é", "日本", "123", " 12.5", "'s", "'", "!!!", "word", "a" * 10, "\t\t "]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 300)))
+        assert small.count(text) == len(t.encode(text, add_special_tokens=False).ids) == len(small.ids(text))
+    for text in ("a" * 3000, " " * 3000, " a" * 2000):
+        assert small.count(text) == len(t.encode(text, add_special_tokens=False).ids)
+
+
+# op9
+
+
+def _repeats(docs):
+    seen, out = set(), {}
+    for d, data in docs:
+        covered = bytearray(len(data))
+        for s in range(len(data) - 99):
+            w = data[s : s + 100]
+            if w in seen:
+                covered[s : s + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(x for x, c in zip(data, covered) if not c)
+        spans = sum(1 for i, c in enumerate(covered) if c and (not i or not covered[i - 1]))
+        out[d] = (len(data), sum(covered), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def _hostile_bytes(rng):
+    prose = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    passages = [prose(60) for _ in range(4)]
+    docs = ["", "short", "a" * 99, "a" * 100, "a" * 101, "a" * 700, "ab" * 400, "xyz" * 300, prose(500)]
+    for _ in range(25):
+        text = prose(rng.randint(5, 120)) + rng.choice(passages) + prose(rng.randint(0, 60))
+        at = rng.randint(0, len(text))
+        docs += [text, text[:at] + rng.choice(["Z", "", "é"]) + text[at:], text[at:] + "a" * rng.randint(0, 150)]
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("broadcast", [10**6, -1])
+def test_repeated_strings(spark, broadcast):
+    rows = _hostile_bytes(random.Random(8))
+    df = spark.createDataFrame([row(i, t) for i, t in rows] + [row(3, rows[3][1])], COLUMNS).repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in exact_substrings.remove_repeats(df, broadcast_anchors=broadcast).collect()}
+    assert got == _repeats([(i, t.encode()) for i, t in rows])
+
+
+def test_repeats_in_small_segments_and_batches(spark, monkeypatch):
+    """The same over segments of 256 bytes and batches of a few rows, without Spark."""
+    monkeypatch.setattr(exact_substrings, "SEGMENT", 256)
+    rows = [(i, t.encode()) for i, t in _hostile_bytes(random.Random(9))]
+    batch = exact_substrings.batch
+    feed = lambda schema, own, k: (batch(schema, [list(c) for c in zip(*own[i : i + k])]) for i in range(0, len(own), k))
+    docs = exact_substrings.pa.schema([("doc", exact_substrings.pa.int64()), ("text", exact_substrings.pa.binary())])
+    chunks = [tuple(r.values()) for b in exact_substrings._chunks(True)(feed(docs, rows, 3)) for r in b.to_pylist()]
+    ranges = []
+    first = {}
+    for c in sorted(chunks, key=lambda c: c[2:4]):
+        if c[:2] in first:
+            ranges.append(c[2:5])
+        first.setdefault(c[:2], c)
+    runs = [tuple(r.values()) for b in exact_substrings._unpack(feed(exact_substrings._CHUNK, list(first.values()), 2)) for r in b.to_pylist()]
+    out = [tuple(r.values()) for b in exact_substrings._sort_out(feed(exact_substrings._ANCHOR, sorted(runs), 2)) for r in b.to_pylist()]
+    again = [tuple(r.values()) for b in exact_substrings._sort_out(feed(exact_substrings._ANCHOR, sorted(runs), 10**6)) for r in b.to_pylist()]
+    assert sorted(out) == sorted(again)
+    ranges += [(d, s >> 14, s & 127) for d, s, copy in out if copy]
+    places = {}
+    for d, s, copy in out:
+        if not copy:
+            places.setdefault(d, []).append((s >> 14) + (s >> 7 & 127))
+    of = lambda b: lambda i: np.array(places.get(b.column("doc")[i].as_py(), []), np.int64)
+    contexts = [tuple(r.values()) for b in exact_substrings._contexts(of)(feed(docs, rows, 4)) for r in b.to_pylist()]
+    for k in (1, 3, 10**6):
+        found = ranges + [tuple(r.values()) for b in exact_substrings._compare(feed(exact_substrings._CONTEXT, sorted(contexts), k)) for r in b.to_pylist()]
+        want = _repeats(rows)
+        for d, data in rows:
+            spans = exact_substrings.covered([(s, n) for x, s, n in found if x == d])
+            assert (sum(b - a for a, b in spans), len(spans)) == want[d][1:3], d
+
+
+def test_repeats_of_nulls_and_empty(hostile, empty):
+    df, _ = hostile
+    got = {r.doc_id: r for r in exact_substrings.remove_repeats(df).collect()}
+    assert got[4].n_bytes == 0 and got[2].n_removed == got[2].n_bytes > 0 and got[1].n_removed < got[1].n_bytes
+    assert exact_substrings.remove_repeats(empty).collect() == []
+
+
+# op10
+
+
+def _phrases(data):
+    seen, out, i = set(), [], 0
+    while i < len(data):
+        j = i + 1
+        while j <= len(data) and data[i:j] in seen:
+            j += 1
+        if j > len(data):
+            break
+        seen.add(data[i:j])
+        out.append(data[i:j])
+        i = j
+    return out
+
+
+def test_phrases_and_prefix_reuse():
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 300)))
+    for _ in range(200):
+        own, other, ends = text(), text(), []
+        lz_fingerprint.parse(own.encode(), 0, set(), ends)
+        assert [own.encode()[a:b] for a, b in zip([0, *ends], ends)] == _phrases(own.encode())
+        data, sig = lz_fingerprint.Parsed(own).edited(other)
+        keep = len(own) - len(own) // 3
+        assert data.decode() == own[:keep] + other[: len(own) // 3]
+        assert lz_fingerprint.text_of(sig) == lz_fingerprint.fingerprint(data.decode())
+
+
+def test_phrase_hashes_do_not_depend_on_blocks(monkeypatch):
+    data, ends = (BASE * 30).encode(), []
+    lz_fingerprint.parse(data, 0, set(), ends)
+    whole = lz_fingerprint.phrase_hashes(data, ends)
+    monkeypatch.setattr(lz_fingerprint, "_BLOCK", 50)
+    assert (lz_fingerprint.phrase_hashes(data, ends) == whole).all() and len(set(whole.tolist())) == len(ends)
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_edited_fingerprints(hostile, empty, buckets):
+    df, rows = hostile
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for i, (d, t, _) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        keep = len(t) - len(t) // 3
+        edited = t[:keep] + following[: len(t) // 3]
+        want.append((d is None, d or 0, len(t), hashlib.sha256(edited.encode()).hexdigest(), lz_fingerprint.fingerprint(t), lz_fingerprint.fingerprint(edited)))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in lz_fingerprint.edited_fingerprints(df, n_buckets=buckets).collect())
+    assert got == sorted(want)
+    assert lz_fingerprint.edited_fingerprints(empty, n_buckets=buckets).collect() == []
+
+
+def test_likeness():
+    a, b = lz_fingerprint.Parsed(BASE * 20), lz_fingerprint.Parsed("entirely other words stand in this text, none of which the first one has " * 10)
+    assert lz_fingerprint.likeness(a.signature, a.signature) == 1 and lz_fingerprint.likeness(a.signature, b.signature) < 0.4
+    assert lz_fingerprint.likeness(lz_fingerprint.Parsed("").signature, lz_fingerprint.Parsed("").signature) == 1
