@@ -3,6 +3,9 @@
 A round joins the newest frontier, never what was found before, with the edges, and drops what is known already; it ends
 when the frontier is empty. Each round is checkpointed to the shared folder: plans stay short, and a lost executor costs
 one round. Cycles and self-loops end by themselves.
+
+Lineage graphs are often small, and a job for each hop then costs more than the walk. Graphs of up to LOCAL_EDGES distinct
+edges (at most LOCAL_ROWS rows of result) are walked on the driver instead, with the same results.
 """
 
 from __future__ import annotations
@@ -13,6 +16,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+LOCAL_EDGES, LOCAL_ROWS = 50_000, 1_000_000
+
+
+def _small(*frames: DataFrame) -> list[list[tuple]] | None:
+    """The rows of frames that are all within LOCAL_EDGES; reads no more than that."""
+    out = []
+    for df in frames:
+        rows = df.limit(LOCAL_EDGES + 1).collect() if LOCAL_EDGES else []
+        if len(rows) > LOCAL_EDGES or not LOCAL_EDGES:
+            return None
+        out.append([tuple(r) for r in rows])
+    return out
+
+
+def _adjacent(edges: list[tuple]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    return out
+
+
+def _reach_locally(edges: list[tuple], starts: list, most: int | None) -> list[tuple] | None:
+    nxt, rows = _adjacent(edges), []
+    for s in starts:
+        seen, frontier, depth = {s}, [s], 0
+        rows.append((s, s, 0))
+        while frontier and (most is None or depth < most):
+            depth += 1
+            new = []
+            for n in frontier:
+                for m in nxt.get(n, ()):
+                    if m not in seen:
+                        seen.add(m)
+                        new.append(m)
+            rows += [(s, n, depth) for n in new]
+            frontier = new
+            if len(rows) > LOCAL_ROWS:
+                return None
+    return rows
+
+
+def _levels_locally(edges: list[tuple]) -> list[tuple]:
+    nxt, waits = _adjacent(edges), {}
+    for a, b in edges:
+        waits.setdefault(a, 0)
+        waits[b] = waits.get(b, 0) + 1
+    ready, level, out = [n for n, k in waits.items() if not k], 0, []
+    while ready:
+        out += [(n, level) for n in ready]
+        new = []
+        for n in ready:
+            for m in nxt.get(n, ()):
+                waits[m] -= 1
+                if not waits[m]:
+                    new.append(m)
+        ready, level = new, level + 1
+    done = {n for n, _ in out}
+    return out + [(n, None) for n in waits if n not in done]
+
+
+def _node_type(edges: DataFrame, column: str = "src") -> str:
+    return edges.schema[column].dataType.simpleString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
     spark = df.sparkSession
@@ -29,7 +96,13 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, through:
     """(start, node, depth): what each start reaches and in how few steps, itself at depth 0.
 
     ``through`` says of a ``node`` whether the walk goes on from it; ``most`` bounds the steps."""
-    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    distinct = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    if through is None and (own := _small(distinct, starts.select(F.col(starts.columns[0])).distinct())) is not None:
+        rows = _reach_locally(own[0], [r[0] for r in own[1]], most)
+        if rows is not None:
+            t = _node_type(edges)
+            return edges.sparkSession.createDataFrame(rows, f"start {t}, node {t}, depth int")
+    e = cut(distinct)
     new = cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
     found, depth = new, 0
     while most is None or depth < most:
@@ -55,8 +128,21 @@ def leaves(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """One row (path, length), or none: fewest steps, of those the path least by its nodes."""
-    e = cut(edges.select("src", "dst").distinct())
     spark = edges.sparkSession
+    distinct = edges.select("src", "dst").distinct()
+    if (own := _small(distinct)) is not None:
+        nxt, newest, known = _adjacent(own[0]), {start: [start]}, {start}
+        while newest and goal not in newest:
+            step: dict[str, list[str]] = {}
+            for n, way in newest.items():
+                for m in nxt.get(n, ()):
+                    if m not in known:
+                        step[m] = min(step.get(m, way + [m]), way + [m])
+            known |= set(step)
+            newest = step
+        found = [(newest[goal], len(newest[goal]) - 1)] if goal in newest else []
+        return spark.createDataFrame(found, "path array<string>, length int")
+    e = cut(distinct)
     new = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = new.select("node")
     while new.limit(1).count():
@@ -71,6 +157,20 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
 
 def simplify(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges between kept nodes that are joined by a path over others only; a walk ends at the first kept node."""
+    if (own := _small(edges.select("src", "dst").distinct(), kept.select(F.col(kept.columns[0])).distinct())) is not None:
+        inside, nxt, rows = {r[0] for r in own[1]}, _adjacent(own[0]), []
+        for start in inside:
+            seen, todo = set(), list(nxt.get(start, ()))
+            while todo:
+                at = todo.pop()
+                if at not in seen:
+                    seen.add(at)
+                    if at in inside:
+                        rows.append((start, at))
+                    else:
+                        todo += nxt.get(at, ())
+        t = _node_type(edges)
+        return edges.sparkSession.createDataFrame(rows, f"src {t}, dst {t}")
     keep = kept.select(F.col(kept.columns[0]).alias("node")).distinct().withColumn("keeps", F.lit(True))
     marked = edges.select("src", "dst").distinct()
     inner = marked.join(keep.withColumnRenamed("node", "src").withColumnRenamed("keeps", "from_kept"), "src", "left")
@@ -95,7 +195,10 @@ def sources_and_sinks(edges: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessors, else one more than the highest of them. Nodes on or behind a cycle have none."""
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    distinct = edges.select("src", "dst").where("src <> dst").distinct()
+    if (own := _small(distinct)) is not None:
+        return edges.sparkSession.createDataFrame(_levels_locally(own[0]), f"node {_node_type(edges)}, level int")
+    e = cut(distinct)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     done, level, rest = None, 0, e
     left = cut(nodes)
@@ -122,6 +225,9 @@ def split_by_sinks(edges: DataFrame, sinks: list[list[str]]) -> DataFrame:
 def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Metadata (pii, owner, tags) carried along edges in order of level: pii by or, tags by union, an owner only where
     all predecessors agree and none was given."""
+    own = _small(nodes.select("node", "pii", "owner", "tags"), edges.select("src", "dst").distinct())
+    if own is not None:
+        return edges.sparkSession.createDataFrame(_propagate_locally(*own), "node string, pii boolean, owner string, tags array<string>")
     order = cut(levels(edges))
     top = order.agg(F.max("level")).first()[0]
     state = cut(nodes.select("node", "pii", "owner", "tags"))
@@ -141,6 +247,21 @@ def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state
 
 
+def _propagate_locally(nodes: list[tuple], edges: list[tuple]) -> list[tuple]:
+    state = {n: (bool(pii), owner, set(tags or ())) for n, pii, owner, tags in nodes}
+    before: dict[str, list[str]] = {}
+    for a, b in edges:
+        if a in state:
+            before.setdefault(b, []).append(a)
+    for n, level in sorted(((n, lv) for n, lv in _levels_locally([e for e in edges if e[0] != e[1]]) if lv), key=lambda x: x[1]):
+        sources = [state[s] for s in before.get(n, ())]
+        if n in state and sources:
+            pii, owner, tags = state[n]
+            owners = {o for _, o, _ in sources}
+            state[n] = (pii or any(p for p, _, _ in sources), owner or (next(iter(owners)) if len(owners) == 1 else None), tags.union(*(t for _, _, t in sources)))
+    return [(n, pii, owner, sorted(tags)) for n, (pii, owner, tags) in state.items()]
+
+
 def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")

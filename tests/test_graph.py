@@ -17,6 +17,12 @@ GRAPHS = {
 }
 
 
+@pytest.fixture(autouse=True, params=[0, 50_000], ids=["joins", "driver"])
+def place(request, monkeypatch):
+    """Every walk both as rounds of joins and on the driver."""
+    monkeypatch.setattr(traverse, "LOCAL_EDGES", request.param)
+
+
 def frame(spark, edges):
     return spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "src string, dst string")
 
