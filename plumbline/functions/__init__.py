@@ -40,6 +40,10 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, from_json(props, 'k BIGINT').k + 1 AS k1, get_json_object(props, '$.missing') AS none, t.v AS tupled FROM events, LATERAL json_tuple(props, 'k') AS t(v)",
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS k1, json_extract_string(props, '$.missing') AS none, json_extract_string(props, '$.k') AS tupled FROM events",
     ),
+    "fn_variant": (
+        "SELECT event_id, CAST(parse_json(props):k AS BIGINT) AS k, CAST(variant_get(parse_json(props), '$.k', 'int') AS BIGINT) * 2 AS doubled FROM events",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) * 2 AS doubled FROM events",
+    ),
 }
 
 

@@ -52,6 +52,7 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT s_suppkey, part_of_name FROM supplier LATERAL VIEW explode(split(s_name, '#')) x AS part_of_name",
         "SELECT s_suppkey, unnest(string_split(s_name, '#')) AS part_of_name FROM supplier",
     ),
+    "table_sample": ("SELECT s_suppkey, s_name FROM supplier TABLESAMPLE (100 PERCENT)", "SELECT s_suppkey, s_name FROM supplier"),
     # projections, filters, predicates
     "select_star": "SELECT * FROM nation",
     "star_except": ("SELECT * EXCEPT (c_acctbal, c_name) FROM customer", "SELECT * EXCLUDE (c_acctbal, c_name) FROM customer"),
@@ -126,7 +127,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "setop_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "setop_union_all": "SELECT c_nationkey AS k, 'c' AS side FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier",
     "setop_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey FROM supplier",
-    "setop_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "setop_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45",
+    "setop_intersect_all": "SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'",
+    "setop_except_all": "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'",
     "setop_mixed": "(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT s_suppkey FROM supplier INTERSECT SELECT c_custkey FROM customer)",
     # CTEs
     "cte_chain": f"WITH recent AS (SELECT * FROM orders WHERE o_orderdate >= DATE '1998-01-01'), per AS (SELECT o_custkey, count(*) AS n, {_sum('o_totalprice')} AS total FROM recent GROUP BY o_custkey) SELECT c.c_name, per.n, per.total FROM per JOIN customer c ON c.c_custkey = per.o_custkey",
@@ -139,6 +142,10 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
         "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY o_orderpriority",
     ),
+    "pivot_multi": (
+        "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) AS n, max(o_orderkey) AS top FOR o_orderstatus IN ('F' AS f, 'O' AS o))",
+        "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f_n, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS f_top, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o_n, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS o_top FROM orders GROUP BY o_orderpriority",
+    ),
     "unpivot": (
         "SELECT p_partkey, measure, v FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT (v FOR measure IN (size, price))",
         "SELECT p_partkey, 'size' AS measure, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part",
