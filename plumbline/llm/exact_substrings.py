@@ -6,9 +6,10 @@ byte in (LENGTH - K) / 2 or so. Four passes:
 
 1. Texts are cut at anchors whose hash says so into chunks of about 1 KB. Of equal chunks all but the first are
    repeated throughout; they are found by hash, combined before the shuffle, and take no further part.
-2. Anchors of first chunks are grouped; those that occur once can repeat nothing.
-3. Around the others contexts are sorted by prefix polynomial hashes of their windows; a window equal to an earlier
-   one is confirmed byte by byte. Contexts are keyed by the hash of the 78 bytes that a third of an anchor's windows
+2. A run is all windows of one anchor, and its context their bytes. Runs of first chunks are grouped by anchor and hash
+   of the context: all but the first of equal contexts are repeated throughout, and an anchor with one context is done.
+3. What is left of an anchor, its different contexts, is sorted by prefix polynomial hashes of the windows in it; a
+   window equal to an earlier one is confirmed byte by byte. Contexts are keyed by the hash of the 78 bytes that a third of an anchor's windows
    have in common, so a passage shared by many texts doesn't bring all that surrounds it into one group.
 4. Each document joins its repeated windows, and what they cover is cut out.
 
@@ -36,8 +37,9 @@ CHUNK_ANCHORS = 32
 PART = 23
 #: Bytes that are read at once.
 SEGMENT = 1 << 20
-#: Anchors to compare (16 bytes each) are sent to all tasks up to this number, and joined to the texts by shuffle beyond it.
-BROADCAST_ANCHORS = 2_000_000
+#: Anchors to compare (16 bytes each), and later spans to remove (24), are sent to all tasks up to this number, and joined to
+#: the texts by a shuffle beyond it.
+BROADCAST_ROWS = 2_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -162,7 +164,7 @@ _CHUNK = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()),
 
 
 def _chunks(with_anchors: bool) -> Callable[[Batches], Batches]:
-    """Chunks of each text: 128-bit hash, place, number of windows; and (anchor's place from the chunk's start, hash) pairs."""
+    """Chunks of each text: 128-bit hash, place, number of windows; and of each run in it its shape, anchor and context."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -173,11 +175,12 @@ def _chunks(with_anchors: bool) -> Callable[[Batches], Batches]:
                 begins = np.flatnonzero(cuts | np.r_[True, segment[1:] != segment[:-1]])
                 ends = np.r_[begins[1:], len(first)]
                 raw, out = data.tobytes(), [[] for _ in _CHUNK]
+                context = _contexts_of(prefix_sums(data), first, count) if with_anchors else None
                 lo, hi = first[begins], first[ends - 1] + count[ends - 1]
                 for b, e, s, t in zip(begins.tolist(), ends.tolist(), lo.tolist(), hi.tolist()):
                     text, offset, start, _ = where[segment[b]]
                     digest = xxhash.xxh3_128_intdigest(raw[s : t + LENGTH - 1])
-                    packed = np.concatenate([(at[b:e] - s).view(_U), h[b:e]]).tobytes() if with_anchors else b""
+                    packed = _pack(at[b:e] - first[b:e], count[b:e], h[b:e], context[b:e]) if with_anchors else b""
                     for column, v in zip(out, (_signed(digest >> 64), _signed(digest & (1 << 64) - 1), docs[text], offset + s - start, t - s, packed)):
                         column.append(v)
                 yield batch(_CHUNK, out)
@@ -189,44 +192,78 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-_ANCHOR = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+def _pack(offset: np.ndarray, count: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> bytes:
+    """A chunk's runs, each beginning where the one before ends: 15 bytes for each. Of an anchor's hash, which only brings
+    runs together, 40 bits are kept."""
+    return b"".join((offset.astype(np.uint8).tobytes(), count.astype(np.uint8).tobytes(), anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes(), context.tobytes()))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, contexts and shapes: first window, its anchor's offset from there and number of windows as one number."""
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw) // 15
+    offset, count = raw[:n].astype(np.int64), raw[n : 2 * n].astype(np.int64)
+    anchor = np.zeros((n, 8), np.uint8)
+    anchor[:, :5] = raw[2 * n : 7 * n].reshape(n, 5)
+    first = np.cumsum(count) - count
+    return anchor.reshape(-1).view("<i8"), raw[7 * n :].copy().view(np.int64), first << 14 | offset << 7 | count
+
+
+def _contexts_of(sums: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return _mix((sums[first + count + LENGTH - 1] - sums[first]) * _DOWN[first] ^ count.astype(_U))
+
+
+_ANCHOR = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("shape", pa.int64())])
+_RUN = "anchor long, context long, doc long, shape long"
 
 
 def _unpack(batches: Batches) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        packed = rows.column("anchors").to_pylist()
-        n = [len(p) // 16 for p in packed]
-        both = [np.frombuffer(p, _U).reshape(2, -1) for p in packed]
-        if both:
-            place = np.concatenate([b[0] for b in both]).view(np.int64) + np.repeat(rows.column("start").to_numpy(), n)
-            yield batch(_ANCHOR, [np.concatenate([b[1] for b in both]).view(np.int64), np.repeat(rows.column("doc").to_numpy(), n), place])
+        own = [_unpacked(p) for p in rows.column("anchors").to_pylist()]
+        if own:
+            n = [len(x[0]) for x in own]
+            anchor, context, shape = (np.concatenate([x[i] for x in own]) for i in range(3))
+            yield batch(_ANCHOR, [anchor, context, np.repeat(rows.column("doc").to_numpy(), n), shape + (np.repeat(rows.column("start").to_numpy(), n) << 14)])
+
 
+_SORTED = pa.schema([("doc", pa.int64()), ("shape", pa.int64()), ("copy", pa.bool_())])
 
-def _shared(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """Rows, ordered by anchor, doc and place, whose anchor occurs at two places or more. Holds one row over."""
-    last: tuple | None = None  # the row before, and whether it has gone out
+
+def _sort_out(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """From runs ordered by anchor, context and place: copies of an earlier run, and first runs of contexts that share an
+    anchor with another context. Holds one run over, whatever the size of a group."""
+    last: tuple | None = None  # the row before
+    waiting: tuple | None = None  # the first run of its anchor, while that has one context
     for rows in batches:
-        a, d, p = (rows.column(c).to_numpy() for c in ("anchor", "doc", "place"))
+        a, c, d, s = (rows.column(x).to_numpy() for x in ("anchor", "context", "doc", "shape"))
         if not len(a):
             continue
-        if last is not None:
-            a, d, p = (np.r_[v, x] for v, x in zip(last[0], (a, d, p)))
-        same = a[1:] == a[:-1]
-        repeat = np.r_[False, same & (d[1:] == d[:-1]) & (p[1:] == p[:-1])]
-        other = same & ~repeat[1:]
-        # a row counts if its anchor has another place before or after it; equal rows stand together
-        group = np.cumsum(np.r_[True, ~same]) - 1
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[1:][other]] = True
-        if last is not None and last[1]:
-            several[0] = True
-        out = several[group] & ~repeat
-        if last is not None and last[1]:
-            out[0] = False
-        # of an open group with one place so far, that place waits
-        last = ((a[-1], d[-1], p[-1]), bool(several[group[-1]]))
-        if out.any():
-            yield batch(_ANCHOR, [a[out], d[out], p[out]])
+        pa_, pc, pd, ps = (np.r_[[v], x[:-1]] for v, x in zip(last or (a[0], c[0], d[0], s[0]), (a, c, d, s)))
+        new_anchor, new_context, same = a != pa_, (a != pa_) | (c != pc), (a == pa_) & (c == pc) & (d == pd) & (s == ps)
+        if last is None:
+            new_anchor[0] = new_context[0] = True
+            same[0] = False
+        copies = ~new_context & ~same
+        group = np.cumsum(new_anchor)  # 0 is the anchor that goes on from before
+        firsts = np.flatnonzero(new_context)
+        size = np.bincount(group[firsts], minlength=group[-1] + 1)
+        several = size > 1
+        if size[0]:
+            several[0] = True  # it had a context before
+        out = np.zeros(len(a), bool)
+        out[firsts] = several[group[firsts]]
+        doc, shape, is_copy = [d[copies], d[out]], [s[copies], s[out]], [np.ones(copies.sum(), bool), np.zeros(out.sum(), bool)]
+        if waiting is not None and size[0]:
+            doc.append(np.array([waiting[0]]))
+            shape.append(np.array([waiting[1]]))
+            is_copy.append(np.zeros(1, bool))
+        end = group[-1]
+        if end > 0 or size[0]:
+            mine = firsts[group[firsts] == end]
+            waiting = (d[mine[0]], s[mine[0]]) if len(mine) == 1 and not several[end] else None
+        last = (a[-1], c[-1], d[-1], s[-1])
+        if sum(map(len, doc)):
+            yield batch(_SORTED, [np.concatenate(doc).astype(np.int64), np.concatenate(shape).astype(np.int64), np.concatenate(is_copy)])
 
 
 _CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
@@ -361,21 +398,36 @@ def covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut_out(batches: Batches) -> Iterator[pa.RecordBatch]:
+_MERGED = pa.schema([("doc", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+
+
+def _merge(batches: Batches) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        out = []
-        for doc, data, starts, sizes in zip(rows.column("doc_id").to_pylist(), text_bytes(rows), rows.column("starts").to_pylist(), rows.column("sizes").to_pylist()):
-            spans = [(a, min(b, len(data))) for a, b in covered(list(zip(starts or (), sizes or ()))) if a < len(data)]
-            digest, at = hashlib.sha256(), 0
-            for a, b in spans:
-                digest.update(data[at:a])
-                at = b
-            digest.update(data[at:])
-            out.append((doc, len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
-        yield batch(_RESULT, [list(c) for c in zip(*out)] if out else [[] for _ in _RESULT])
-
-
-def repeated_windows(docs: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
+        spans = [covered(list(zip(s, n))) for s, n in zip(rows.column("starts").to_pylist(), rows.column("sizes").to_pylist())]
+        yield batch(_MERGED, [rows.column("doc"), [[a for a, _ in x] for x in spans], [[b for _, b in x] for x in spans]])
+
+
+Spans = Callable[[pa.RecordBatch], list[list[tuple[int, int]]]]
+
+
+def _cut_out(spans_of: Spans) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for doc, data, spans in zip(rows.column("doc_id").to_pylist(), text_bytes(rows), spans_of(rows)):
+                digest, at, removed = hashlib.sha256(), 0, 0
+                for a, b in spans:
+                    digest.update(data[at:a])
+                    at = min(b, len(data))
+                    removed += max(0, at - a)
+                digest.update(data[at:])
+                out.append((doc, len(data), removed, sum(a < len(data) for a, _ in spans), digest.hexdigest()))
+            yield batch(_RESULT, [list(c) for c in zip(*out)] if out else [[] for _ in _RESULT])
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc, start, windows): runs of windows that also start earlier, from (doc, text) with no null."""
     chunk = "h1 long, h2 long, doc long, start long, windows long, anchors binary"
     light = cut(docs.mapInArrow(_chunks(False), chunk).drop("anchors"))
@@ -384,14 +436,18 @@ def repeated_windows(docs: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS
     copies = light.join(firsts, ["h1", "h2"]).where(place > F.col("first")).select("doc", "start", "windows")
 
     distinct = docs.mapInArrow(_chunks(True), chunk).groupBy("h1", "h2").agg(F.min(F.struct("doc", "start", "anchors")).alias("c")).select("c.*")
-    places = distinct.mapInArrow(_unpack, "anchor long, doc long, place long")
-    shared = places.repartition("anchor").sortWithinPartitions("anchor", "doc", "place").mapInArrow(_shared, "anchor long, doc long, place long")
-    shared = cut(shared.select("doc", "place"))
+    runs = distinct.mapInArrow(_unpack, _RUN)
+    sorted_out = cut(runs.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "shape").mapInArrow(_sort_out, "doc long, shape long, copy boolean"))
+    start, count = F.shiftright("shape", 14), F.col("shape").bitwiseAND(127)
+    copies = copies.union(sorted_out.where("copy").select("doc", start.alias("start"), count.alias("windows")))
+    shared = sorted_out.where("NOT copy").select("doc", (start + F.shiftright("shape", 7).bitwiseAND(127)).alias("place"))
 
     context = "key long, doc long, start long, bytes binary"
-    if shared.count() <= broadcast_anchors:
-        table = shared.toPandas().sort_values(["doc", "place"])
-        sent = docs.sparkSession.sparkContext.broadcast((table["doc"].to_numpy(np.int64), table["place"].to_numpy(np.int64)))
+    if shared.count() <= broadcast_rows:
+        table = shared.toArrow()
+        doc, place = (table.column(c).to_numpy() for c in ("doc", "place"))
+        order = np.lexsort((place, doc))
+        sent = docs.sparkSession.sparkContext.broadcast((doc[order], place[order]))
 
         def by_table(rows: pa.RecordBatch) -> Callable[[int], np.ndarray]:
             doc, at = sent.value
@@ -412,7 +468,7 @@ def repeated_windows(docs: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS
     return copies.union(ordered.mapInArrow(_compare, "doc long, start long, windows long"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row.
 
     A byte goes if a LENGTH-byte string over it also starts earlier: in a smaller id, or in the same text before. A null
@@ -422,7 +478,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lowest = F.lit(-(1 << 63)).cast("long")
     docs = df.select(F.coalesce(df[id_col].cast("long"), lowest).alias("doc"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    found = repeated_windows(docs, broadcast_anchors)
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("r")).select("doc", F.col("r.start").alias("starts"), F.col("r.windows").alias("sizes"))
+    found = repeated_windows(docs, broadcast_rows)
+    lists = found.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("r")).select("doc", F.col("r.start").alias("starts"), F.col("r.windows").alias("sizes"))
+    merged = cut(lists.mapInArrow(_merge, "doc long, begins array<long>, ends array<long>"))
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[id_col].cast("long"), lowest).alias("doc"), df[text_col].cast("string").alias("text"))
-    return rows.join(by_doc.hint("shuffle_hash"), "doc", "left").mapInArrow(_cut_out, ", ".join(f"{n} {t}" for n, t in _FIELDS))
+    result = ", ".join(f"{n} {t}" for n, t in _FIELDS)
+    if (merged.agg(F.sum(F.size("begins"))).first()[0] or 0) <= broadcast_rows:
+        table = merged.select("doc", F.explode(F.arrays_zip("begins", "ends")).alias("s")).select("doc", "s.begins", "s.ends").toArrow()
+        columns = [table.column(c).to_numpy() for c in ("doc", "begins", "ends")]
+        order = np.lexsort((columns[1], columns[0]))
+        sent = df.sparkSession.sparkContext.broadcast([c[order] for c in columns])
+
+        def by_table(rows: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+            doc, begins, ends = sent.value
+            own = rows.column("doc").to_numpy()
+            lo, hi = np.searchsorted(doc, own), np.searchsorted(doc, own, "right")
+            return [list(zip(begins[a:b].tolist(), ends[a:b].tolist())) for a, b in zip(lo.tolist(), hi.tolist())]
+
+        return rows.mapInArrow(_cut_out(by_table), result)
+
+    def by_row(rows: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+        return [list(zip(a or (), b or ())) for a, b in zip(rows.column("begins").to_pylist(), rows.column("ends").to_pylist())]
+
+    return rows.join(merged.hint("shuffle_hash"), "doc", "left").mapInArrow(_cut_out(by_row), result)

@@ -405,7 +405,7 @@ def _hostile_bytes(rng):
 def test_repeated_strings(spark, broadcast):
     rows = _hostile_bytes(random.Random(8))
     df = spark.createDataFrame([row(i, t) for i, t in rows] + [row(3, rows[3][1])], COLUMNS).repartition(5)
-    got = {r.doc_id: tuple(r)[1:] for r in exact_substrings.remove_repeats(df, broadcast_anchors=broadcast).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in exact_substrings.remove_repeats(df, broadcast_rows=broadcast).collect()}
     assert got == _repeats([(i, t.encode()) for i, t in rows])
 
 
