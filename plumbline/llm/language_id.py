@@ -263,7 +263,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accept(df: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def accept(df: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.3) -> DataFrame:
     """The rows whose language is determined with a score of ``least`` or more, with all their columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
