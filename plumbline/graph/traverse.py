@@ -12,24 +12,39 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-LOCAL_EDGES, LOCAL_ROWS = 50_000, 1_000_000
+LOCAL_EDGES, LOCAL_ROWS = 200_000, 1_000_000
 
 
 def _small(*frames: DataFrame) -> list[list[tuple]] | None:
-    """The rows of frames that are all within LOCAL_EDGES; reads no more than that."""
+    """The distinct rows of frames that are all within LOCAL_EDGES rows; reads no more than that."""
     out = []
     for df in frames:
-        rows = df.limit(LOCAL_EDGES + 1).collect() if LOCAL_EDGES else []
-        if len(rows) > LOCAL_EDGES or not LOCAL_EDGES:
+        rows = df.limit(LOCAL_EDGES + 1).toArrow() if LOCAL_EDGES else None
+        if rows is None or rows.num_rows > LOCAL_EDGES:
             return None
-        out.append([tuple(r) for r in rows])
+        listed = zip(*(c.to_pylist() for c in rows.columns))
+        out.append(list({_key(r): r for r in listed}.values()))
     return out
 
 
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame from rows of plain columns, by way of Arrow."""
+    empty = spark.createDataFrame([], schema)
+    types = to_arrow_schema(empty.schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in types]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, types)], names=types.names), empty.schema)
+
+
+def _key(row: tuple) -> tuple:
+    return tuple(tuple(v) if isinstance(v, list) else v for v in row)
+
+
 def _adjacent(edges: list[tuple]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for a, b in edges:
@@ -96,13 +111,13 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, through:
     """(start, node, depth): what each start reaches and in how few steps, itself at depth 0.
 
     ``through`` says of a ``node`` whether the walk goes on from it; ``most`` bounds the steps."""
-    distinct = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    if through is None and (own := _small(distinct, starts.select(F.col(starts.columns[0])).distinct())) is not None:
+    pairs = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    if through is None and (own := _small(pairs, starts.select(F.col(starts.columns[0])))) is not None:
         rows = _reach_locally(own[0], [r[0] for r in own[1]], most)
         if rows is not None:
             t = _node_type(edges)
-            return edges.sparkSession.createDataFrame(rows, f"start {t}, node {t}, depth int")
-    e = cut(distinct)
+            return _frame(edges.sparkSession, rows, f"start {t}, node {t}, depth int")
+    e = cut(pairs.distinct())
     new = cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
     found, depth = new, 0
     while most is None or depth < most:
@@ -129,8 +144,8 @@ def leaves(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """One row (path, length), or none: fewest steps, of those the path least by its nodes."""
     spark = edges.sparkSession
-    distinct = edges.select("src", "dst").distinct()
-    if (own := _small(distinct)) is not None:
+    pairs = edges.select("src", "dst")
+    if (own := _small(pairs)) is not None:
         nxt, newest, known = _adjacent(own[0]), {start: [start]}, {start}
         while newest and goal not in newest:
             step: dict[str, list[str]] = {}
@@ -142,7 +157,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
             newest = step
         found = [(newest[goal], len(newest[goal]) - 1)] if goal in newest else []
         return spark.createDataFrame(found, "path array<string>, length int")
-    e = cut(distinct)
+    e = cut(pairs.distinct())
     new = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = new.select("node")
     while new.limit(1).count():
@@ -157,7 +172,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
 
 def simplify(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges between kept nodes that are joined by a path over others only; a walk ends at the first kept node."""
-    if (own := _small(edges.select("src", "dst").distinct(), kept.select(F.col(kept.columns[0])).distinct())) is not None:
+    if (own := _small(edges.select("src", "dst"), kept.select(F.col(kept.columns[0])))) is not None:
         inside, nxt, rows = {r[0] for r in own[1]}, _adjacent(own[0]), []
         for start in inside:
             seen, todo = set(), list(nxt.get(start, ()))
@@ -170,7 +185,7 @@ def simplify(edges: DataFrame, kept: DataFrame) -> DataFrame:
                     else:
                         todo += nxt.get(at, ())
         t = _node_type(edges)
-        return edges.sparkSession.createDataFrame(rows, f"src {t}, dst {t}")
+        return _frame(edges.sparkSession, rows, f"src {t}, dst {t}")
     keep = kept.select(F.col(kept.columns[0]).alias("node")).distinct().withColumn("keeps", F.lit(True))
     marked = edges.select("src", "dst").distinct()
     inner = marked.join(keep.withColumnRenamed("node", "src").withColumnRenamed("keeps", "from_kept"), "src", "left")
@@ -195,22 +210,23 @@ def sources_and_sinks(edges: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessors, else one more than the highest of them. Nodes on or behind a cycle have none."""
-    distinct = edges.select("src", "dst").where("src <> dst").distinct()
-    if (own := _small(distinct)) is not None:
-        return edges.sparkSession.createDataFrame(_levels_locally(own[0]), f"node {_node_type(edges)}, level int")
-    e = cut(distinct)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    done, level, rest = None, 0, e
-    left = cut(nodes)
+    pairs = edges.select("src", "dst").where("src <> dst")
+    if (own := _small(pairs)) is not None:
+        return _frame(edges.sparkSession, _levels_locally(own[0]), f"node {_node_type(edges)}, level int")
+    e = cut(pairs.distinct())
+    waiting = e.select(F.col("dst").alias("node"), F.lit(1).alias("k")).union(e.select(F.col("src").alias("node"), F.lit(0).alias("k"))).groupBy("node").agg(F.sum("k").alias("waits"))
+    done, level = None, 0
     while True:
-        ready = cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+        waiting = cut(waiting)  # nodes without a level, and how many of their predecessors have none
+        ready = waiting.where("waits = 0").select("node")
         if not ready.limit(1).count():
             break
-        done = ready if done is None else done.union(ready)
-        left = cut(left.join(ready.select("node"), "node", "left_anti"))
-        rest = cut(rest.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+        at = ready.withColumn("level", F.lit(level))
+        done = at if done is None else done.union(at)
+        less = e.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        waiting = waiting.where("waits > 0").join(less, "node", "left").select("node", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"))
         level += 1
-    loops = left.withColumn("level", F.lit(None).cast("int"))
+    loops = waiting.select("node", F.lit(None).cast("int").alias("level"))
     return loops if done is None else done.union(loops)
 
 
@@ -225,7 +241,7 @@ def split_by_sinks(edges: DataFrame, sinks: list[list[str]]) -> DataFrame:
 def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Metadata (pii, owner, tags) carried along edges in order of level: pii by or, tags by union, an owner only where
     all predecessors agree and none was given."""
-    own = _small(nodes.select("node", "pii", "owner", "tags"), edges.select("src", "dst").distinct())
+    own = _small(nodes.select("node", "pii", "owner", "tags"), edges.select("src", "dst"))
     if own is not None:
         return edges.sparkSession.createDataFrame(_propagate_locally(*own), "node string, pii boolean, owner string, tags array<string>")
     order = cut(levels(edges))

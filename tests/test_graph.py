@@ -17,7 +17,7 @@ GRAPHS = {
 }
 
 
-@pytest.fixture(autouse=True, params=[0, 50_000], ids=["joins", "driver"])
+@pytest.fixture(autouse=True, params=[0, 200_000], ids=["joins", "driver"])
 def place(request, monkeypatch):
     """Every walk both as rounds of joins and on the driver."""
     monkeypatch.setattr(traverse, "LOCAL_EDGES", request.param)
