@@ -26,7 +26,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     # scans and sources
     "scan_project": "SELECT o_orderkey, o_custkey, o_totalprice * 2 AS doubled FROM orders",
     "derived_table": f"SELECT t.o_custkey, t.n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t WHERE t.n > 5",
-    "values_clause": "SELECT v.id, v.name, v.price FROM (VALUES (1, 'a', 1.5), (2, 'b', 2.5), (3, NULL, 3.5)) AS v(id, name, price)",
+    "values_clause": "SELECT v.id, v.name, CAST(v.price AS DOUBLE) AS price FROM (VALUES (1, 'a', 1.5), (2, 'b', 2.5), (3, NULL, 3.5)) AS v(id, name, price)",
     "tvf_generate_series": (
         "SELECT CAST(n AS BIGINT) AS n, CAST(n * n AS BIGINT) AS sq FROM generate_series(1, 200, 3) AS g(n)",
         "SELECT n, n * n AS sq FROM generate_series(1, 200, 3) AS g(n)",
@@ -113,8 +113,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     # windows
     "window_rows": f"SELECT o_orderkey, CAST(sum({MONEY.format('o_totalprice')}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS DOUBLE) AS s FROM orders",
     "window_range": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 180 DAYS PRECEDING AND CURRENT ROW) AS n FROM orders",
-    "window_named": "SELECT event_id, row_number() OVER w AS rn, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-    "window_ranking": "SELECT p_partkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr, ntile(4) OVER w AS q, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_size), 9) AS pr FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)",
+    "window_named": "SELECT event_id, CAST(row_number() OVER w AS BIGINT) AS rn, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "window_ranking": "SELECT p_partkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS dr, CAST(ntile(4) OVER w AS BIGINT) AS q, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_size), 9) AS pr FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)",
     "window_offset": "SELECT event_id, lag(event_type) OVER w AS prev, lead(event_type, 2, 'none') OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "window_value": "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "window_running_total": f"SELECT o_orderkey, CAST(sum({MONEY.format('o_totalprice')}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM orders",
@@ -122,7 +122,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "window_empty_over": "SELECT n_name, count(*) OVER () AS n, max(n_nationkey) OVER () AS mx FROM nation",
     # sorts and limits
     "sort_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
-    "topk_per_group": "SELECT c_nationkey, c_custkey, rk FROM (SELECT c_nationkey, c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rk FROM customer) t WHERE rk <= 3",
+    "topk_per_group": "SELECT c_nationkey, c_custkey, CAST(rk AS BIGINT) AS rk FROM (SELECT c_nationkey, c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rk FROM customer) t WHERE rk <= 3",
     # set operations
     "setop_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "setop_union_all": "SELECT c_nationkey AS k, 'c' AS side FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier",
