@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Batches, batch
 
 BINS = 128
+#: Buckets for each task: their hashes spread the more evenly over tasks the more there are.
+SPREAD = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BLOCK = 1 << 20
@@ -185,7 +187,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = df.sparkSession
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), F.coalesce(df[id_col].cast("long"), lowest).alias("key"))
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_buckets or SPREAD * tasks
     quantiles = rows.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
     cuts = sorted({int(q) for q in quantiles})
     rows = rows.withColumn("bucket", _bucket_of(F.col("key"), cuts))
@@ -201,5 +204,5 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("guest"))))).alias("b"),
         "key", "doc_id", "text",
     ).select("b.bucket", "b.guest", "key", "doc_id", "text")
-    ordered = both.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "text")
+    ordered = both.repartition(tasks, "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "text")
     return ordered.mapInArrow(_pairs, ", ".join(f"{n} {t}" for n, t in _FIELDS))
