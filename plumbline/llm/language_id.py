@@ -30,6 +30,8 @@ ROUNDS = 3
 WORD_CHARS = 48
 #: Probability of a character that is no piece, the same for all languages.
 UNKNOWN = 1e-6
+#: Positions between two scalings of the forward pass; a model's probabilities are 1e-9 at least, so no sum between vanishes.
+RESCALE = 16
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 400_000
 UNDETERMINED = "und"
@@ -122,9 +124,16 @@ class Model:
     def _forward(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
         alpha = np.zeros((sizes.max() + 1, len(words), len(self.languages)))
         alpha[0] = 1
-        for i, length, rows, at in pieces(self.path).spans(words):
+        scale = np.zeros((len(words), len(self.languages)), np.int32)  # powers of two taken out so far
+        vocabulary = pieces(self.path)
+        for i, length, rows, at in vocabulary.spans(words):
+            if length == 1 and i and i % RESCALE == 0:  # all segmentations go on from one of these positions
+                ahead = alpha[i : i + vocabulary.longest, rows]
+                power = np.frexp(ahead.max(axis=0))[1]
+                alpha[i : i + vocabulary.longest, rows] = np.ldexp(ahead, -power)
+                scale[rows] += power
             alpha[i + length][rows] += alpha[i][rows] * self.table[at]
-        return np.log(alpha[sizes, np.arange(len(words))])
+        return np.log(alpha[sizes, np.arange(len(words))]) + scale * np.log(2)
 
 
 def fit(counts: dict[str, list[tuple[bytes, int]]], path: str, rounds: int = ROUNDS) -> Model | None:
@@ -144,18 +153,18 @@ def fit(counts: dict[str, list[tuple[bytes, int]]], path: str, rounds: int = ROU
             np.add.at(p, at[at >= 0], times[rows[at >= 0]])
         p = p / p.sum()
         p[-1] = UNKNOWN
-        for _ in range(rounds):
-            n = sizes.max() + 1
-            alpha, beta = np.zeros((n, len(words))), np.zeros((n, len(words)))
-            alpha[0], beta[sizes, np.arange(len(words))] = 1, 1
+        for _ in range(rounds):  # in logs, as pieces of a rare part may be of any small probability
+            n, log = sizes.max() + 1, np.log(np.maximum(p, 1e-300))
+            alpha, beta = np.full((n, len(words)), -np.inf), np.full((n, len(words)), -np.inf)
+            alpha[0], beta[sizes, np.arange(len(words))] = 0, 0
             for i, length, rows, at in spans:
-                alpha[i + length][rows] += alpha[i][rows] * p[at]
+                alpha[i + length][rows] = np.logaddexp(alpha[i + length][rows], alpha[i][rows] + log[at])
             for i, length, rows, at in reversed(spans):
-                beta[i][rows] += beta[i + length][rows] * p[at]
+                beta[i][rows] = np.logaddexp(beta[i][rows], beta[i + length][rows] + log[at])
             whole = alpha[sizes, np.arange(len(words))]
             found = np.zeros(len(p))
             for i, length, rows, at in spans:
-                np.add.at(found, at, times[rows] * alpha[i][rows] * p[at] * beta[i + length][rows] / whole[rows])
+                np.add.at(found, at, times[rows] * np.exp(alpha[i][rows] + log[at] + beta[i + length][rows] - whole[rows]))
             found[-1] = 0
             p = np.maximum(found / found.sum(), 1e-300)
             p[-1] = UNKNOWN

@@ -211,6 +211,32 @@ def test_language_held_out_accuracy(spark, sf):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
 
 
+def test_unseen_characters_leave_the_scores_finite(spark):
+    english = " ".join(f"{w} {BASE}" for w in ("this", "is", "a", "long", "text")) * 3
+    french = "le renard brun saute par dessus le chien paresseux et les sorciers boivent du vin pendant une longue nuit "
+    count = lambda t: [(w, t.split().count(w.decode())) for w in sorted({w.encode() for w in t.split()})]
+    model = language_id.fit({"en": count(english), "fr": count(french)}, language_id.public_tokenizers.path("piece_bpe_32k.model"))
+    clause = "日本語の文章はここにあり読者は続きを読むことができるがその言語は学習されていない" * 2
+    for other in (clause[:60], "ไม่มีช่องว่างระหว่างคำในภาษาไทย" * 3, "我们在这里写一个没有空格的很长的句子来测试模型" * 3):
+        assert np.isfinite(model.log_probabilities([other.encode()])).all()
+        langs, scores = language_id.predictor(model)([english + other + " " + english, other + " " + french * 2])
+        assert langs == ["en", "fr"] and np.isfinite(scores).all() and scores.min() > 0.5
+    docs = spark.createDataFrame([row(1, f"{english}{clause[:60]} {english}"), row(2, "")], COLUMNS)
+    assert [r.doc_id for r in language_id.accept(docs, model).collect()] == [1]
+    # against logs at every position
+    vocabulary = language_id.pieces(model.path)
+    index = {p: i for i, p in enumerate(vocabulary.names)}
+    part = "▁" + "ab日の本" * 9
+    at = [np.zeros(2)]
+    for j in range(1, len(part) + 1):
+        found = [at[i] + np.log(model.table[k]) for i in range(max(0, j - vocabulary.longest), j) if (k := index.get(part[i:j], -1 if j == i + 1 else None)) is not None]
+        at.append(np.logaddexp.reduce(found))
+    assert model.log_probabilities([part[1:].encode()])[0] == pytest.approx(at[-1])
+    # a long part that is rare in training
+    rare = "".join(map(chr, range(0x3041, 0x3041 + 47)))
+    assert np.isfinite(language_id.fit({"en": [(b"the", 10**9), (rare.encode(), 1)]}, model.path).table).all()
+
+
 def test_language_edges(hostile, empty):
     df, rows = hostile
     model = language_id.train(df)
