@@ -78,13 +78,17 @@ def base_spans(text: str) -> list[Span]:
 
 # Generators beyond the base patterns: what opens a text to one (cheap), its pattern, its kind.
 _SEPARATED = r"(?:[ .-]|\) ?)"
-_GENERATORS: tuple[tuple[Callable[[str], bool], re.Pattern, str], ...] = (
-    (lambda t: "dot" in t or "[at]" in t or "(at)" in t, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]{1,63}){1,8}"), "email"),
+_AT = re.compile(r"@|\(at\)|\[at\]| at ", re.I | re.A).search
+_ADDRESS = r"(?<![A-Za-z0-9._%+-])(?=([A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63}"
+_GENERATORS: tuple[tuple[Callable[[str], object], re.Pattern, str], ...] = (
+    # each beginning of a local part has a proposal, as the longest may swallow the next one's; with blanks around dots and without
+    (_AT, re.compile(rf"{_ADDRESS}(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]{{1,63}}){{1,8}}))", re.I | re.A), "email"),
+    (_AT, re.compile(rf"{_ADDRESS}(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.| dot )[A-Za-z0-9-]{{1,63}}){{1,8}}))", re.I | re.A), "email"),
     (lambda t: ":" in t, re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])"), "ip"),
     (lambda t: True, re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])"), "card"),
     (lambda t: True, re.compile(rf"(?<![0-9+.,])(?:\(?[0-9]{{2,4}}{_SEPARATED})(?:[0-9]{{2,4}}[ .-]){{1,3}}[0-9]{{2,4}}(?![0-9.,]?[0-9])"), "phone"),
     (lambda t: True, re.compile(r"(?<![0-9])0[1-9][0-9]{7,10}(?![0-9])"), "phone"),
-    (lambda t: True, re.compile(r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*[0-9])[0-9A-Za-z_/+-]{20,200}(?![0-9A-Za-z_/+-])"), "secret"),
+    (lambda t: True, re.compile(r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*[0-9])[0-9A-Za-z_/+-]{20,}(?![0-9A-Za-z_/+-])"), "secret"),
 )
 _HAS_DIGIT = re.compile(r"[0-9]")
 
@@ -94,8 +98,8 @@ def proposals(text: str) -> list[Span]:
     digit = bool(_HAS_DIGIT.search(text))
     for opens, pattern, kind in _GENERATORS:
         if (digit or kind == "email") and opens(text):
-            out += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return out
+            out += [(kind, *m.span(pattern.groups)) for m in pattern.finditer(text)]
+    return list(dict.fromkeys(out))
 
 
 _WORDS = {
@@ -106,7 +110,10 @@ _WORDS = {
     "secret": re.compile(r"token|secret|key|passw|pwd|bearer|auth|credential", re.I),
 }
 _PLAIN = re.compile(r"order|invoice|isbn|version|date|page|total|price|commit|sha|build|serial|part|id\b|no\.|ref", re.I)
-N_FEATURES = 24
+_SPELT = re.compile(r"[(\[](?:at|dot)[)\]]| dot ", re.I | re.A)
+_TOP = re.compile(r"[. )\]](?:com|org|net|edu|gov|info|io|[a-z]{2})$", re.I | re.A)
+_PLAIN_LOCAL = re.compile(r"[A-Za-z]+(?: ?[@(\[]| at )", re.I | re.A)
+N_FEATURES = 29
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -122,6 +129,8 @@ def features(text: str, span: Span) -> list[float]:
         float(d[:1] in ("3", "4", "5", "6")), float("(" in own), float(own.count("-") + own.count(" ")), float(own.count(".")),
         float(bool(_WORDS[kind].search(before))), float(bool(_PLAIN.search(before))), float(lead.isalnum() or lead in ("#", "$", "€")),
         float(after.isalnum() or after in ("%", "/")), len(set(own)) / len(own), float(bool(re.search(r"(?:19|20)[0-9]{2}", own))),
+        float(kind == "email" and "@" in own), float(kind == "email" and bool(_SPELT.search(own))), float(kind == "email" and bool(_TOP.search(own))),
+        float(kind == "email" and (". " in own or " ." in own)), float(kind == "email" and bool(_PLAIN_LOCAL.match(own))),
     ]
 
 
@@ -188,6 +197,8 @@ def _synthetic(n: int, seed: int) -> Iterator[tuple[str, list[Span]]]:
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    top = lambda: rng.choice(("com", "org", "net", "edu", "de", "io"))
+    coded = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(k - 1)) + num(1)
 
     def card(valid: bool) -> str:
         d = rng.choice("3456") + num(14)
@@ -200,12 +211,17 @@ def _synthetic(n: int, seed: int) -> Iterator[tuple[str, list[Span]]]:
         ("phone", lambda: f"0{rng.choice('123456789')}{num(8)}", ("phone", "call me at")), ("phone", lambda: " ".join(["0" + num(1), *(num(2) for _ in range(4))]), ("tel", "fax", "")),
         ("email", lambda: f"{word()} at {word()} dot com", ("mail", "write to", "")), ("email", lambda: f"{word()}[at]{word()}[dot]org", ("contact", "")),
         ("ip", lambda: ":".join(hexes(4) for _ in range(8)), ("host", "from", "")), ("secret", lambda: hexes(40), ("token =", 'token = "', "api key:", "secret", "password:")),
+        ("email", lambda: f"{word()}.{word()} at {word()}.{top()}", ("mail", "contact", "")), ("email", lambda: f"{word()}.{word()} @ {word()}.{word()}.{top()}", ("write to", "")),
+        ("email", lambda: f"{word()} at {word()}.{top()}", ("mail", "write to", "contact")), ("email", lambda: rng.choice((f"{word()} at {word()} dot {top()}", f"{word()}[at]{word()}[dot]{top()}", f"{word()} (at) {word()} (dot) {top()}")).upper(), ("mail", "contact", "")),
+        ("email", lambda: f"{word()} @ {word()} . {top()}", ("mail", "")), ("secret", lambda: rng.choice((hexes, coded))(rng.randint(201, 700)), ("token =", 'token = "', "api key:", "secret", "password:")),
     )
     plain = (
         (lambda: num(16), ("order", "serial", "", "total")), (lambda: card(False), ("", "invoice", "ref")), (lambda: f"{rng.randint(1900, 2099)}-{num(2)}-{num(2)}", ("date", "")),
         (lambda: f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", ("isbn",)), (lambda: f"{num(2)}.{num(2)}.{rng.randint(1900, 2099)}", ("date", "")), (lambda: hexes(40), ("commit", "sha", "build", "")),
         (lambda: f"{num(3)} {num(3)} {num(3)}", ("total", "", "page")), (lambda: ":".join(num(2) for _ in range(6)), ("date", "")), (lambda: "/".join(word() for _ in range(5)) + num(2), ("", "page")),
         (lambda: f"0{num(9)}", ("id", "serial", "order")), (lambda: f"{num(2)}-{num(2)}-{num(2)}-{num(2)}", ("part", "")),
+        (lambda: f"{word()} at {word()}. {word().title()}", ("", "contact", "reach")), (lambda: f"{word()} {rng.choice(('at', '@'))} {num(2)}.{num(2)}", ("", "price", "contact")), (lambda: f"{word()} at {word()}.{top()}", ("",)),
+        (lambda: rng.choice((hexes, coded))(rng.randint(201, 700)), ("commit", "sha", "build", "")), (lambda: "/".join(word() for _ in range(60)) + num(2), ("", "page")),
     )
     for _ in range(n):
         left, right = " ".join(word() for _ in range(rng.randint(6, 9))), " ".join(word() for _ in range(3))
@@ -225,7 +241,7 @@ def trained(n: int = 3000, seed: int = 11, precision: float = 0.97) -> Boosted:
         for text, truth in _synthetic(n, seed):
             for s in proposals(text):
                 x.append(features(text, s))
-                y.append(float(any(t[0] == s[0] and s[1] < t[2] and t[1] < s[2] for t in truth)))
+                y.append(float(any(t[0] == s[0] and s[1] < t[2] and t[1] < s[2] and (s[0] != "email" or s == t) for t in truth)))
                 kinds.append(s[0])
         return np.array(x), np.array(y), kinds
 

@@ -363,6 +363,28 @@ def test_pii_adds_by_context_and_leaves_the_rest():
     assert pii.redacted("a b@c.de f", [("email", 2, 8)]) == "a [EMAIL] f"
 
 
+def test_pii_addresses_do_not_hang_on_other_words():
+    model = pii.trained()
+    added = lambda t: [(k, t[a:b]) for k, a, b in pii.all_spans([t], model)[0][1]]
+    for own in ("jane.roe @ mail.example.org", "jane.roe at example.org", "JANE AT EXAMPLE DOT COM", "jane[AT]example[DOT]org"):
+        for text in (f"please write to {own}, she answers soon", f"an anecdote: please write to {own}. Then wait", f"{'many words ' * 500} mail {own} now"):
+            assert any(text[a:b] == own for _, a, b in pii.proposals(text)), text
+            assert added(text) == [("email", own)], text
+    for text in ("we had a look at home. Then we left", "they met at 10.30 and left", "ten pieces @ 3.50 each", "she stayed at school. He did not", "have a look at example.org for more"):
+        assert added(text) == [], text
+    assert ("email", "jane at example.org") in [(k, t[a:b]) for t in ["meet at noon. jane at example.org"] for k, a, b in pii.proposals(t)]
+
+
+def test_pii_secrets_of_any_length():
+    rng, model = random.Random(8), pii.trained()
+    for n in (40, 200, 201, 256, 5000):
+        own = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        text = f"the api key: {own} leaked"
+        assert [text[a:b] for k, a, b in pii.all_spans([text], model)[0][1] if k == "secret"] == [own], n
+        text = f"built from commit {own} of today"
+        assert pii.all_spans([text], model)[0][1] == [], n
+
+
 def test_pii_long_runs_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "a@" * 50_000, "1." * 100_000, "+1 " * 50_000):
         pii.all_spans([text], pii.trained())
