@@ -240,7 +240,13 @@ def split_by_sinks(edges: DataFrame, sinks: list[list[str]]) -> DataFrame:
 
 def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Metadata (pii, owner, tags) carried along edges in order of level: pii by or, tags by union, an owner only where
-    all predecessors agree and none was given."""
+    all predecessors agree and none was given. Rows of one node are one: pii by or, tags by union, the owner if they name
+    just one; pii is never null and tags are sorted, never null."""
+    nodes = nodes.groupBy("node").agg(
+        F.max(F.coalesce("pii", F.lit(False))).alias("pii"),
+        F.when(F.countDistinct("owner") == 1, F.min("owner")).alias("owner"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"),
+    )
     own = _small(nodes.select("node", "pii", "owner", "tags"), edges.select("src", "dst"))
     if own is not None:
         return edges.sparkSession.createDataFrame(_propagate_locally(*own), "node string, pii boolean, owner string, tags array<string>")
@@ -274,7 +280,7 @@ def _propagate_locally(nodes: list[tuple], edges: list[tuple]) -> list[tuple]:
         if n in state and sources:
             pii, owner, tags = state[n]
             owners = {o for _, o, _ in sources}
-            state[n] = (pii or any(p for p, _, _ in sources), owner or (next(iter(owners)) if len(owners) == 1 else None), tags.union(*(t for _, _, t in sources)))
+            state[n] = (pii or any(p for p, _, _ in sources), owner if owner is not None else next(iter(owners)) if len(owners) == 1 else None, tags.union(*(t for _, _, t in sources)))
     return [(n, pii, owner, sorted(tags)) for n, (pii, owner, tags) in state.items()]
 
 

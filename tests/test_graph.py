@@ -68,3 +68,13 @@ def test_propagation(spark):
     nodes = spark.createDataFrame([("n0", True, "a", ["x"]), ("n1", None, "b", None), ("n2", None, None, ["y"]), ("n3", None, None, None)], "node string, pii boolean, owner string, tags array<string>")
     got = {r.node: (r.pii, r.owner, r.tags) for r in traverse.propagate(nodes, frame(spark, [(0, 2), (1, 2), (0, 3)])).collect()}
     assert got["n2"] == (True, None, ["x", "y"]) and got["n3"] == (True, "a", ["x"]) and got["n1"][0] is False
+
+
+def test_propagation_merges_rows_of_one_node(spark):
+    schema = "node string, pii boolean, owner string, tags array<string>"
+    nodes = spark.createDataFrame([("n0", None, "a", ["y"]), ("n0", True, None, ["x", "y"]), ("n1", None, None, None), ("n1", None, "", ["z"]), ("n2", None, "b", None), ("n2", None, "c", None)], schema)
+    want = {("n0", True, "a", ("x", "y")), ("n1", True, "", ("x", "y", "z")), ("n2", False, None, ())}
+    got = [(r.node, r.pii, r.owner, tuple(r.tags)) for r in traverse.propagate(nodes, frame(spark, [(0, 1)])).collect()]
+    assert len(got) == 3 and set(got) == want
+    alone = [(r.node, r.pii, r.owner, r.tags) for r in traverse.propagate(nodes.where("node = 'n2'"), frame(spark, [(0, 1)]).limit(0)).collect()]
+    assert alone == [("n2", False, None, [])]
