@@ -103,7 +103,7 @@ def packer(encoder: Encoder, capacity: int, end_id: int, keep_ids: bool) -> Call
                 for n in cut_lengths(len(ids), capacity):
                     bins.add(n, (doc, at, zlib.crc32(raw[4 * at : 4 * (at + n)]), len(ids), ids[at : at + n].astype(np.int32) if keep_ids else None))
                     at += n
-                if len(done) >= 20_000:
+                if len(done) >= (2_000 if keep_ids else 20_000):
                     yield flush()
         bins.close()
         yield flush()

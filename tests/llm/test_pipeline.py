@@ -3,6 +3,7 @@
 import corpus_pipeline
 from plumbline.llm import language_id, mixing, pii, simhash
 from plumbline.llm.common import documents
+from plumbline.llm.token_counts import Encoder
 
 
 def test_stages_take_effect(spark, sf):
@@ -35,3 +36,14 @@ def test_clean_documents_pass_the_language_stage(spark, sf):
     kept = corpus_pipeline.language_stage(spark, docs, sf)
     assert kept.count() == docs.where("text RLIKE '\\\\p{L}'").count()
     assert language_id.train(docs.limit(0)) is None
+
+
+def test_packed_sequences_can_be_rebuilt(spark, sf):
+    docs = documents(spark, sf).limit(200).cache()
+    rows = corpus_pipeline.packing_stage(spark, docs, sf).collect()
+    assert all(len(r.ids) == r.length for r in rows)
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        whole.setdefault(r.doc_id, []).extend(r.ids)
+    encoder = Encoder()
+    assert whole == {r.doc_id: [*map(int, encoder.ids(r.text or "")), 0] for r in docs.collect()}
