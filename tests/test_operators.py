@@ -50,6 +50,18 @@ def test_entry_has_the_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_entry_without_the_text_operators(spark, sf, monkeypatch):
+    """Whether the folder, the pipeline's file or both are gone, all other queries are there and run."""
+    real = entry.importlib.util.find_spec
+    for gone in (("plumbline.llm",), ("plumbline.llm.queries",), ("plumbline.llm", "corpus_pipeline"), ("corpus_pipeline",)):
+        monkeypatch.setattr(entry.importlib.util, "find_spec", lambda m, gone=gone: None if any(m == g or m.startswith(f"{g}.") for g in gone) else real(m))
+        found = entry.queries()
+        assert set(QUERIES) <= set(found) and "pipeline" not in found and set(entry.oracle_sql()) <= set(found)
+        if gone != ("corpus_pipeline",):
+            assert set(found) == set(QUERIES)
+    assert entry.entry(spark).count() > 0
+
+
 def test_nothing_outside_imports_the_text_operators():
     root = Path(entry.__file__).parent / "plumbline"
     for path in root.rglob("*.py"):
