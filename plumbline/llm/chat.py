@@ -21,8 +21,8 @@ from .common import Batches, batch
 
 @dataclass(frozen=True)
 class Template:
-    """``{role}`` and ``{text}`` stand in ``turn``, around which everything is a control string. Control strings contain
-    the bar; bars and backslashes of roles and texts are escaped by a backslash, so none can arise inside a text."""
+    """Role and text stand between the three control strings of ``turn``. Each of these holds a bar; a bar of a role or text
+    is written as backslash and p, a backslash twice, so the first bar after a role or text is its control string's."""
 
     turn: tuple[str, str, str] = ("<|", "|>\n", "<|end|>\n")
     loss_roles: frozenset[str] = frozenset({"assistant"})
@@ -37,6 +37,10 @@ class Template:
     )
     final: frozenset[str] = frozenset({"assistant"})
 
+    def __post_init__(self):
+        if not all("|" in control for control in self.turn):
+            raise ValueError("each control string needs a bar")
+
     def step(self, state: str, role: str) -> tuple[str, bool]:
         """The next state and whether the move is allowed; after a wrong turn the machine goes on from its role."""
         to = self.moves.get(state, {}).get(role)
@@ -48,14 +52,14 @@ class Template:
 
 
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("|", "\\|") if "\\" in text or "|" in text else text
+    return text.replace("\\", "\\\\").replace("|", "\\p") if "\\" in text or "|" in text else text
 
 
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
+    return _ESCAPED.sub(lambda m: "|" if m[1] == "p" else m[1], text) if "\\" in text else text
 
 
 def read_turns(formatted: str, template: Template = Template()) -> list[tuple[str, str]]:
@@ -63,7 +67,7 @@ def read_turns(formatted: str, template: Template = Template()) -> list[tuple[st
     opened, closed, end = template.turn
     out, at = [], 0
     while at < len(formatted):
-        head = formatted.index(closed, at)
+        head = formatted.index(closed, at + len(opened))
         stop = formatted.index(end, head + len(closed))
         out.append((unescape(formatted[at + len(opened) : head]), unescape(formatted[head + len(closed) : stop])))
         at = stop + len(end)
@@ -98,7 +102,7 @@ def format_chat(df: DataFrame, template: Template = Template()) -> DataFrame:
 
     Null roles and texts are empty; an unknown role is formatted and not allowed; a null conv_id is a conversation of its
     own; turns of equal number are ordered by role and text, null turns come first; repeated rows are turns of their own;
-    nothing is dropped; an empty table gives no turns; other columns are not read.
+    nothing is dropped; a text of any length is one segment; an empty table gives no turns; other columns are not read.
     """
     slim = df.select(
         df["conv_id"].cast("long").alias("conv_id"), df["turn"].cast("long").alias("turn"),
@@ -169,7 +173,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
-       CAST(sum(13 + length(replace(replace(role, '\', '\\'), '|', '\|')) + length(replace(replace(text, '\', '\\'), '|', '\|'))) AS BIGINT) AS formatted_chars,
+       CAST(sum(13 + length(replace(replace(role, '\', '\\'), '|', '\p')) + length(replace(replace(text, '\', '\\'), '|', '\p'))) AS BIGINT) AS formatted_chars,
        CAST(sum(bad) AS BIGINT) AS n_bad_turns,
        sum(bad) = 0 AND arg_max(role, turn) = 'assistant' AS complete
 FROM b GROUP BY conv_id

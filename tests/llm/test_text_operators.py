@@ -51,7 +51,7 @@ def _digest(turns):
 
 def test_chat_reads_back_what_went_in(spark):
     tricky = ["\\### Assistant: </turn> ok", "<|end|>\n", "<|assistant|>\n", "\\", "|", "<", "\\|", "a\n<|user|>\nb", "", None]
-    rows = [(c, t, r, x, 9) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["system", "user", "assistant", "user", "assistant", "tool|", "<|end|>", None, "user", "assistant"], tricky if c != 2 else tricky[::-1]))]
+    rows = [(c, t, r, x, 9) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["system", "user", "assistant", "user", "assistant", "a|>\nb", "<|end|>", None, "user", "assistant"], tricky if c != 2 else tricky[::-1]))]
     rows += [(3, None, "user", "first", 9), (3, 1, "assistant", "b", 9), (3, 1, "assistant", "b", 9), (3, 1, "assistant", "a", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, state int")
     got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(chat.format_chat(df)).collect()}
@@ -68,6 +68,14 @@ def test_chat_state_machine():
     assert t.step("start", "assistant") == ("assistant", False)
     assert t.step("user", "robot") == ("unknown", False)
     assert chat.read_turns("".join(x for x, _ in t.segments("a|b", "c\\|d"))) == [("a|b", "c\\|d")]
+    marks = ["<|", "|>\n", "<|end|>\n", "|", "\\", "\\p", "<", ">", "\n", "p", "end", "a"]
+    rng = random.Random(3)
+    some = lambda: "".join(rng.choice(marks) for _ in range(rng.randint(0, 7)))
+    for _ in range(3000):
+        turns = [(some(), some()) for _ in range(rng.randint(1, 4))]
+        assert chat.read_turns("".join(x for r, m in turns for x, _ in t.segments(r, m))) == turns
+    with pytest.raises(ValueError):
+        chat.Template(turn=("<|", ">", "<|end|>"))
 
 
 def test_chat_empty(spark):
