@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -424,8 +425,16 @@ def test_splicing_is_exact():
     for _ in range(150):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 300)))
         assert small.count(text) == len(t.encode(text, add_special_tokens=False).ids) == len(small.ids(text))
-    for text in ("a" * 3000, " " * 3000, " a" * 2000):
-        assert small.count(text) == len(t.encode(text, add_special_tokens=False).ids)
+    for text in ("a" * 3000, " " * 3000, " a" * 2000, "!\x1c" * 900, "a\u0301" * 900, "<|endoftext|>" * 300, "日本語" * 700, "x" * 200 + "'s" * 900):
+        assert small.count(text) == len(t.encode(text, add_special_tokens=False).ids), text[:20]
+
+
+def test_texts_without_boundaries_take_time_in_proportion():
+    for text in (" " * 4_000_000, "a" * 1_000_000, "ab " * 1_000_000):
+        began = time.perf_counter()
+        n = Encoder().count(text)
+        assert time.perf_counter() - began < 20
+        assert n == len(Encoder().ids(text))
 
 
 # op9
