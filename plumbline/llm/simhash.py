@@ -5,11 +5,12 @@ fingerprints within the radius agree in at least ``blocks - RADIUS`` of them, so
 that many blocks and their values. Each shard is a BK-tree (children keyed by their Hamming distance to the parent), and
 only edges within the radius are followed. How finely to cut follows from the number of fingerprints alone; every cut is
 exact. Shards are spread over the cluster rather than broadcast, as all trees together grow with the corpus. A shard that
-is larger than expected is salted: its fingerprints are dealt to several trees, and each queries all of them.
+is larger than expected is dealt to several parts of bounded size, and every two parts meet in a cell of their own, where
+one is a tree and the other asks it; so no task holds more than two parts, however many fingerprints lie near each other.
 
-A pair is counted only in the first shard where it meets; a shard returns, for each fingerprint, the number of documents
-linked and one edge to the least fingerprint of its group, never the pairs. Groups are then joined over all shards by
-alternating large and small stars, each round checkpointed.
+A pair is counted only in the first shard where it meets. Hits are streamed: a shard keeps, for each fingerprint, the
+number of documents linked and the group so far, never the pairs, and returns one edge to the least fingerprint of the
+group. Groups are then joined over all shards by alternating large and small stars, each round checkpointed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Batches, ascii_lower, batch, cut, text_bytes, words_of
 
@@ -33,7 +33,8 @@ SEED = 42
 #: Fingerprints that a shard should hold on average, and from which on it is salted into trees of this size.
 SHARD, HOT = 512, 8192
 _PART = 65_536
-_QUERIES = 8_192
+#: (query, node) pairs that are compared at once.
+_FRONTIER = 65_536
 
 
 def fingerprint(data: bytes) -> int:
@@ -54,18 +55,23 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_ROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("fp", pa.int64())])
 
 
 def _fingerprinted(batches: Batches) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        yield batch(_ROW, [rows.column(0), _signed([fingerprint(t) for t in text_bytes(rows)])])
+        yield batch(_ROW, [rows.column(0), rows.column(1), _signed([fingerprint(t) for t in text_bytes(rows)])])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its fingerprint as a signed long; null texts are empty."""
-    slim = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return slim.mapInArrow(_fingerprinted, "doc_id long, fp long")
+def _digest(text: F.Column) -> F.Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, its fingerprint as a signed long and, if wanted, the MD5 of its text; null texts are empty."""
+    named = _digest(df[text_col]) if digest else F.lit(None).cast("string")
+    slim = df.select(df[id_col].cast("long").alias("doc_id"), named.alias("digest"), df[text_col].cast("string").alias("text"))
+    return slim.mapInArrow(_fingerprinted, "doc_id long, digest string, fp long").select("doc_id", "fp", *["digest"] * digest)
 
 
 class Cut:
@@ -89,13 +95,14 @@ class Cut:
 
         return F.array(*(F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(signed(reduce(int.__or__, (self.masks[b] for b in c))))).alias("part")) for i, c in enumerate(self.choices)))
 
-    def first_choice(self, differing: np.ndarray) -> np.ndarray:
-        """Of pairs, by their xor: the number of the first choice in which they agree."""
-        agree = np.stack([(differing & np.uint64(m)) == 0 for m in self.masks])
-        first = agree & (np.cumsum(agree, axis=0) <= self.pick)
-        code = (first * (1 << np.arange(len(self.masks)))[:, None]).sum(axis=0)
-        number = {sum(1 << b for b in c): i for i, c in enumerate(self.choices)}
-        return np.array([number[c] for c in code.tolist()], np.int64)
+    def must_differ(self) -> np.ndarray:
+        """For each choice, masks of the blocks before its last that it leaves out: a pair that agrees in a choice meets there
+        first if it differs in each of them. Rows are filled up with all bits, in which unequal fingerprints differ."""
+        out = np.full((len(self.choices), len(self.masks) - self.pick), np.uint64((1 << 64) - 1))
+        for i, c in enumerate(self.choices):
+            for j, b in enumerate(b for b in range(c[-1]) if b not in c):
+                out[i, j] = self.masks[b]
+        return out
 
 
 def cut_for(n: int, radius: int = RADIUS, shard: int = SHARD) -> int:
@@ -130,21 +137,23 @@ class Trees:
         self.keys, self.children = keys[order], children[order]
 
     def near(self, fp: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) of all nodes within the radius in the queries' own shards."""
+        """(query, node) of all nodes within the radius in the queries' own shards, a bounded number at a time."""
         at = np.searchsorted(self.shards, shard)
         there = np.flatnonzero((at < len(self.shards)) & (self.shards[np.minimum(at, len(self.shards) - 1)] == shard)) if len(self.shards) else np.zeros(0, np.int64)
-        for i in range(0, len(there), _QUERIES):
-            query = there[i : i + _QUERIES]
-            node = self.roots[at[query]]
-            while len(query):
-                d = np.bitwise_count(fp[query] ^ self.fp[node]).astype(np.int64)
-                hit = d <= radius
-                if hit.any():
-                    yield query[hit], node[hit]
-                lo = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-                n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right") - lo
-                query = np.repeat(query, n)
-                node = self.children[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        frontier = [(there, self.roots[at[there]])]
+        while frontier:  # depth first: a node has at most 2 * radius + 1 children to follow
+            query, node = frontier.pop()
+            if len(query) > _FRONTIER:
+                frontier.append((query[_FRONTIER:], node[_FRONTIER:]))
+                query, node = query[:_FRONTIER], node[:_FRONTIER]
+            d = np.bitwise_count(fp[query] ^ self.fp[node]).astype(np.int64)
+            hit = d <= radius
+            if hit.any():
+                yield query[hit], node[hit]
+            lo = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right") - lo
+            if n.any():
+                frontier.append((np.repeat(query, n), self.children[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]))
 
 
 def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,39 +173,44 @@ _FOUND = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("least", pa.int64())
 
 
 def _search(cutting: Cut, radius: int) -> Callable[[Batches], Batches]:
+    differ = cutting.must_differ()
+
     def shards(rows: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        same = np.r_[False, (rows["choice"][1:] == rows["choice"][:-1]) & (rows["part"][1:] == rows["part"][:-1]) & (rows["salt"][1:] == rows["salt"][:-1])]
-        shard, fp, tree = np.cumsum(~same), rows["fp"].view(np.uint64), rows["tree"]
-        nodes = np.flatnonzero(tree)
-        a, b = [], []
-        for query, node in Trees(fp[nodes], shard[nodes]).near(fp, shard, radius):
-            node = nodes[node]
-            other = fp[query] != fp[node]
-            query, node = query[other], node[other]
-            if len(query):
-                mine = cutting.first_choice(fp[query] ^ fp[node]) == rows["choice"][query]
-                a.append(query[mine])
-                b.append(node[mine])
-        if not sum(map(len, a)):
-            return None
-        a, b = np.concatenate(a), np.concatenate(b)
+        same = np.r_[False, np.logical_and.reduce([rows[c][1:] == rows[c][:-1] for c in ("choice", "part", "cell")])]
+        shard, fp = np.cumsum(~same), rows["fp"].view(np.uint64)
+        nodes, asks = np.flatnonzero(rows["tree"]), np.flatnonzero(rows["asks"])
         value, own = np.unique(fp.view(np.int64), return_inverse=True)
-        label = least_reachable(len(value), own[a], own[b])
-        n = np.zeros(len(value), np.int64)
-        np.add.at(n, own[a], rows["weight"][b])
-        linked = np.unique(np.concatenate([own[a], own[b]]))
+        label, n = np.arange(len(value)), np.zeros(len(value), np.int64)
+        linked = np.zeros(len(value), bool)
+        for query, node in Trees(fp[nodes], shard[nodes]).near(fp[asks], shard[asks], radius):
+            query, node = asks[query], nodes[node]
+            x = fp[query] ^ fp[node]
+            mine = x != 0
+            for j in range(differ.shape[1]):
+                mine &= x & differ[rows["choice"][query], j] != 0
+            query, node = query[mine], node[mine]
+            a, b = own[query], own[node]
+            n += np.bincount(a, rows["weight"][node], len(n)).astype(np.int64)
+            once = np.flatnonzero(~(rows["tree"][query] & rows["asks"][query]))  # two parts meet here alone
+            n += np.bincount(b[once], rows["weight"][query[once]], len(n)).astype(np.int64)
+            linked[a] = linked[b] = True
+            apart = label[a] != label[b]
+            if apart.any():
+                label = least_reachable(len(value), label[a[apart]], label[b[apart]])[label]
+        if not linked.any():
+            return None
         return batch(_FOUND, [value[linked], n[linked], value[label[linked]]])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by shard; whole shards are searched as soon as enough rows are there."""
         waiting: dict[str, np.ndarray] | None = None
         for rows in batches:
-            new = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "part", "salt", "fp", "weight", "tree")}
+            new = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "part", "cell", "fp", "weight", "tree", "asks")}
             waiting = new if waiting is None else {c: np.concatenate([waiting[c], new[c]]) for c in new}
             if len(waiting["fp"]) < 50_000:
                 continue
             last = np.ones(len(waiting["fp"]), bool)
-            for c in ("choice", "part", "salt"):
+            for c in ("choice", "part", "cell"):
                 last &= waiting[c] == waiting[c][-1]
             whole = int(np.argmax(last))
             if whole and (found := shards({c: v[:whole] for c, v in waiting.items()})):
@@ -212,15 +226,17 @@ def linked(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, hot: int =
     """From distinct (fp, weight): fp, n (weight of the others within the radius in one shard), least (of its group there)."""
     cutting = Cut(cut_for(fps.count(), radius, shard), radius)
     rows = fps.select(F.explode(cutting.keys(F.col("fp"))).alias("k"), "fp", "weight").select("k.choice", "k.part", "fp", "weight")
-    large = rows.groupBy("choice", "part").count().where(F.col("count") > hot).withColumn("trees", F.ceil(F.col("count") / hot)).drop("count")
-    large = cut(large)
+    large = cut(rows.groupBy("choice", "part").count().where(F.col("count") > hot).withColumn("parts", F.ceil(F.col("count") / hot)).drop("count"))
     if large.limit(1).count():
-        salted = rows.join(large, ["choice", "part"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-        salted = salted.select("choice", "part", "fp", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("salt"), F.pmod(F.xxhash64("fp"), F.col("trees")).alias("home"))
-        rows = salted.select("choice", "part", "salt", "fp", "weight", (F.col("salt") == F.col("home")).alias("tree"))
+        dealt = rows.join(large, ["choice", "part"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("home", F.pmod(F.xxhash64("fp"), F.col("parts")))
+        others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        cells = dealt.select("choice", "part", "fp", "weight", "home", F.explode(others).alias("other"))
+        cell = F.struct(F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
+        # the lower part is the tree, the higher asks; a part that meets itself does both
+        rows = cells.select("choice", "part", F.to_json(cell).alias("cell"), "fp", "weight", (F.col("home") <= F.col("other")).alias("tree"), (F.col("home") >= F.col("other")).alias("asks"))
     else:
-        rows = rows.select("choice", "part", F.lit(0).cast("long").alias("salt"), "fp", "weight", F.lit(True).alias("tree"))
-    ordered = rows.repartition("choice", "part", "salt").sortWithinPartitions("choice", "part", "salt", "fp")
+        rows = rows.select("choice", "part", F.lit("").alias("cell"), "fp", "weight", F.lit(True).alias("tree"), F.lit(True).alias("asks"))
+    ordered = rows.repartition("choice", "part", "cell").sortWithinPartitions("choice", "part", "cell", "fp")
     return ordered.mapInArrow(_search(cutting, radius), "fp long, n long, least long")
 
 
@@ -245,15 +261,26 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select("u", F.col("v").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, n_near, component_id for each row.
+def _with_groups(docs: DataFrame, by_fp: DataFrame) -> DataFrame:
+    """docs joined to by_fp on fp. A fingerprint that more than one document in 10,000 has (at most 10,000 of them) is sent to
+    all tasks, so that no task gets all its documents; the rest is shuffled."""
+    most = docs.count() // 10_000
+    common = by_fp.where(F.col("weight") > most).limit(10_000)
+    marked = docs.join(F.broadcast(common.withColumnRenamed("fp", "common")), F.col("fp") == F.col("common"), "left")
+    rest = marked.where("common IS NULL").select(*docs.columns).join(by_fp, "fp")
+    columns = [*docs.columns, "n_near", "component_id"]
+    return marked.where("common IS NOT NULL").select(*columns).unionByName(rest.select(*columns))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD, hot: int = HOT, digest: bool = False) -> DataFrame:
+    """doc_id, fp, n_near, component_id for each row and, if wanted, the MD5 of the text.
 
-    Null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows are documents of
-    their own; a null id never names a component unless all ids of it are null; an empty table gives no rows; other
-    columns are not read.
+    Null, empty and wordless texts have fingerprint zero and are linked like any other; a text of any length is read whole,
+    in parts; repeated rows are documents of their own; a null id never names a component unless all ids of it are null; an
+    empty table gives no rows; other columns are not read.
     """
-    docs = cut(fingerprints(df, id_col, text_col))
-    fps = docs.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first_doc"))
+    docs = cut(fingerprints(df, id_col, text_col, digest))
+    fps = cut(docs.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first_doc")))
     found = cut(linked(fps.select("fp", "weight"), radius, shard, hot))
     near = found.groupBy("fp").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("fp").alias("u"), F.col("least").alias("v")))
@@ -262,33 +289,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = member.join(fps, "fp").groupBy("root").agg(F.min("first_doc").alias("group_doc"))
     group = member.join(first, "root").select("fp", "group_doc")
     by_fp = fps.join(near, "fp", "left").join(group, "fp", "left").select(
-        "fp", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"), F.coalesce("group_doc", "first_doc").alias("component_id")
+        "fp", "weight", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"), F.coalesce("group_doc", "first_doc").alias("component_id")
     )
-    return docs.join(by_fp, "fp").select("doc_id", "fp", "n_near", "component_id")
-
-
-def _append_fp(text_name: str) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            values = pa.array(_signed([fingerprint(t) for t in text_bytes(rows, text_name)]))
-            yield pa.RecordBatch.from_arrays([*rows.columns, values], names=[*rows.schema.names, "fp"])
-
-    return run
+    return _with_groups(docs, cut(by_fp))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without near-duplicates: of each group the row with the least id stays, with all its columns under their names.
 
-    Of rows that share that id, the one with the least fingerprint; of rows that share both, one. Null ids come last."""
-    found = near_duplicates(df, id_col, text_col)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"), F.col("fp").alias("keep_fp"))
+    Of rows that share that id, the one with the least MD5 of the text stays; of rows that share both, one. Null ids come
+    last. Texts are fingerprinted once and shuffled once, to where their group has chosen."""
+    found = near_duplicates(df, id_col, text_col, digest=True)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"), F.col("digest").alias("keep_digest"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp")))
-    best = cut(found.groupBy(group.alias("g")).agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("n")).select("b.keep_id", "b.keep_fp"))
-    again = found.groupBy("doc_id", "fp").count().where("count > 1").limit(1).count() > 0
-    text_name = f"own_{df.columns.index(text_col)}"
-    own = df.select(*(df[c].alias(f"own_{i}") for i, c in enumerate(df.columns)), df[id_col].cast("long").alias("key_id"))
-    marked = own.mapInArrow(_append_fp(text_name), StructType([*own.schema.fields, StructField("fp", LongType())]))
-    kept = marked.join(best.hint("shuffle_hash"), marked["key_id"].eqNullSafe(best["keep_id"]) & (marked["fp"] == best["keep_fp"]), "left_semi")
+    best = cut(found.groupBy(group.alias("g")).agg(F.min(order).alias("b")).select("b.keep_id", "b.keep_digest"))
+    again = found.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count() > 0
+    own = df.select(*(df[c].alias(f"own_{i}") for i, c in enumerate(df.columns)), df[id_col].cast("long").alias("key_id"), _digest(df[text_col]).alias("key_digest"))
+    kept = own.join(best.hint("shuffle_hash"), own["key_id"].eqNullSafe(best["keep_id"]) & (own["key_digest"] == best["keep_digest"]), "left_semi")
     if again:
-        kept = kept.dropDuplicates(["key_id", "fp"])
+        kept = kept.dropDuplicates(["key_id", "key_digest"])
     return kept.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(df.columns)))

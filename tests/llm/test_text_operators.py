@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import resource
 import time
 import zlib
 
@@ -131,6 +132,34 @@ def test_simhash_links_by_every_cut_and_salt(spark, shard, hot):
     assert {r[0] & (1 << 64) - 1: r[1] for r in found} == {f: 2 * len(ls) for f, ls in zip(fps, links) if ls}
 
 
+def test_simhash_of_a_dense_shard_is_bounded():
+    """8,000 fingerprints within 6 bits of each other, in one shard: in seconds, and without holding the pairs."""
+    rng = random.Random(6)
+    fps = set()
+    while len(fps) < 8000:
+        fps.add(sum(1 << b for b in rng.sample(range(64), 3)) if rng.random() < 0.9 else sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))))
+    fps = np.array(sorted(fps), np.uint64)
+    near = np.zeros(len(fps), np.int64)
+    for i in range(len(fps)):
+        near[i] = np.count_nonzero(np.bitwise_count(fps ^ fps[i]) <= 6) - 1
+    assert (near == len(fps) - 1).all()
+    cutting = simhash.Cut(7)
+    n = len(fps)
+    schema = simhash.pa.schema([("choice", simhash.pa.int64()), ("part", simhash.pa.int64()), ("cell", simhash.pa.string()), ("fp", simhash.pa.int64()), ("weight", simhash.pa.int64()), ("tree", simhash.pa.bool_()), ("asks", simhash.pa.bool_())])
+    total, began, before = {}, time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    search = simhash._search(cutting, 6)
+    for choice in range(7):  # every choice, each with its shards
+        part = fps & np.uint64(cutting.masks[choice])
+        order = np.lexsort((fps, part))
+        rows = simhash.batch(schema, [[choice] * n, part[order].view(np.int64), [""] * n, fps[order].view(np.int64), [1] * n, [True] * n, [True] * n])
+        for b in search(iter([rows.slice(i, 3000) for i in range(0, n, 3000)])):
+            for fp, k in zip(b.column("fp").to_pylist(), b.column("n").to_pylist()):
+                total[fp] = total.get(fp, 0) + k
+    assert set(total.values()) == {n - 1}
+    assert time.perf_counter() - began < 120
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
