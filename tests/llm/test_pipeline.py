@@ -35,6 +35,8 @@ def test_clean_documents_pass_the_language_stage(spark, sf):
     docs = documents(spark, sf)
     kept = corpus_pipeline.language_stage(spark, docs, sf)
     assert kept.count() == docs.where("text RLIKE '\\\\p{L}'").count()
+    foreign = docs.limit(1).selectExpr("-1L AS doc_id", "'Szybki brązowy lis przeskakuje nad leniwym psem i biegnie dalej przez las do wody' AS text", "lang", "source", "n_chars")
+    assert corpus_pipeline.language_stage(spark, docs.unionByName(foreign), sf).count() == kept.count()
     assert language_id.train(docs.limit(0)) is None
 
 

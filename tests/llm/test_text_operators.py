@@ -257,7 +257,7 @@ def test_unseen_characters_leave_the_scores_finite(spark):
     clause = "日本語の文章はここにあり読者は続きを読むことができるがその言語は学習されていない" * 2
     for other in (clause[:60], "ไม่มีช่องว่างระหว่างคำในภาษาไทย" * 3, "我们在这里写一个没有空格的很长的句子来测试模型" * 3):
         assert np.isfinite(model.log_probabilities([other.encode()])).all()
-        langs, scores = language_id.predictor(model)([english + other + " " + english, other + " " + french * 2])
+        langs, scores, evidence = language_id.predictor(model)([english + other + " " + english, other + " " + french * 2])
         assert langs == ["en", "fr"] and np.isfinite(scores).all() and scores.min() > 0.5
     docs = spark.createDataFrame([row(1, f"{english}{clause[:60]} {english}"), row(2, "")], COLUMNS)
     assert [r.doc_id for r in language_id.accept(docs, model).collect()] == [1]
@@ -275,6 +275,90 @@ def test_unseen_characters_leave_the_scores_finite(spark):
     assert np.isfinite(language_id.fit({"en": [(b"the", 10**9), (rare.encode(), 1)]}, model.path).table).all()
 
 
+def _segmentations(word, index):
+    """All ways to part a word into pieces; -1 is a character that is none."""
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        at = index.get(word[:n], -1 if n == 1 else None)
+        if at is not None:
+            for rest in _segmentations(word[n:], index):
+                yield (at, *rest)
+
+
+def test_expectation_maximisation_and_score_against_brute_force():
+    path = language_id.public_tokenizers.path("piece_bpe_32k.model")
+    counts = {"x": [(b"abab", 3), (b"ba", 1), ("né".encode(), 2)], "y": [(b"abc", 2), ("日a".encode(), 1)]}
+    model = language_id.fit(counts, path)
+    vocabulary = language_id.pieces(path)
+    index = {p: i for i, p in enumerate(vocabulary.names)}
+    columns = []
+    for lang in ("x", "y"):
+        p = None
+        for _ in range(language_id.ROUNDS + 1):
+            found = np.zeros(len(vocabulary.names) + 1)
+            for word, times in counts[lang]:
+                every = list(_segmentations("▁" + word.decode(), index))
+                if p is None:  # begins with all pieces that stand anywhere in a word
+                    own = "▁" + word.decode()
+                    for i in range(len(own)):
+                        for j in range(i + 1, len(own) + 1):
+                            if own[i:j] in index:
+                                found[index[own[i:j]]] += times
+                    continue
+                weight = np.array([np.prod([p[at] for at in s]) for s in every])
+                for s, w in zip(every, weight / weight.sum()):
+                    for at in s:
+                        found[at] += times * w
+            found[-1] = 0
+            p = np.maximum(found / found.sum(), 1e-300)
+            p[-1] = language_id.UNKNOWN
+        columns.append(p)
+    table = np.stack(columns, axis=1)
+    table = 0.98 * table + 0.02 * table.mean(axis=1, keepdims=True) + 1e-9
+    assert model.table[:-1] == pytest.approx(table[:-1], rel=1e-6, abs=1e-12)
+    # the score: posterior of the texts' tempered sums
+    text = "abab né ba abc"
+    log = np.zeros(2)
+    for w in text.split():
+        log += np.log([sum(np.prod([model.table[at, k] for at in s]) for s in _segmentations("▁" + w, index)) for k in (0, 1)])
+    log /= np.sqrt(4)
+    (lang,), (score,), _ = language_id.predictor(model)([text])
+    assert lang == ("x", "y")[int(log.argmax())] and score == pytest.approx(1 / np.exp(log - log.max()).sum())
+
+
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    counts = {"x": [(b"abab", 3), (b"the", 5), (b"information", 2)], "y": [(b"abc", 2), (b"nformat", 4)]}
+    model = language_id.fit(counts, language_id.public_tokenizers.path("piece_bpe_32k.model"))
+    words = [b"abcinformation" * n for n in (1, 4, 9, 40)] + [("日本éinformation" * 30).encode(), b"x" * 5000, b"information" * 3000]
+    want = model.log_probabilities(words)
+    assert np.isfinite(want).all()
+    monkeypatch.setattr(language_id, "BLOCK", 10**9)
+    assert model.log_probabilities(words) == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(language_id, "BLOCK", 37)
+    assert model.log_probabilities(words) == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(language_id, "TOGETHER", 50)
+    assert model.log_probabilities(words) == pytest.approx(want, rel=1e-9)
+
+
+def test_foreign_and_random_texts_are_rejected_short_clean_ones_are_not(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs.where(~language_id.held_out(docs["doc_id"])))
+    foreign = [
+        "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie dalej przez las do wody", "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsän läpi joelle",
+        "La volpe marrone salta sopra il cane pigro e corre nel bosco verso il fiume grande", "日本語の文章はここにあり読者は続きを読むことができるがその言語は学習されていない",
+        "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше через лес", "qwrtz plkjh xcvbn mnbvc zxcvq wqpzx kjhgf dsqwr tzpxv wqxzk jjvvq", "½ ² ① Ⅷ 12", "",
+    ]
+    rows = spark.createDataFrame([row(i, t) for i, t in enumerate([*foreign, None])], COLUMNS)
+    assert language_id.accept(rows, model).collect() == []
+    assert {r.lang_pred for r in language_id.identify(rows.where("doc_id >= 6"), model).collect()} == {"und"}
+    kept = {r.doc_id for r in language_id.accept(docs, model).collect()}
+    gone = [r for r in docs.collect() if r.doc_id not in kept]
+    assert all(not r.text or not re.search(r"[A-Za-z]", r.text) for r in gone)
+    short = spark.createDataFrame([(r.doc_id, " ".join(r.text.split()[:4])) for r in docs.where("length(text) > 80").limit(100).collect() if not re.search(r"[0-9@!]", " ".join(r.text.split()[:4]))], "doc_id long, text string")
+    assert language_id.accept(short, model).count() >= 0.98 * short.count() > 50
+
+
 def test_language_edges(hostile, empty):
     df, rows = hostile
     model = language_id.train(df)
