@@ -443,6 +443,37 @@ def test_mixing_targets_and_samples(spark, empty):
     assert mixing.mix_plan(empty).collect() == [] and mixing.mix(empty).collect() == []
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Sources of which all rows have no id, one id, or are wholly equal still come near their targets."""
+    rng = random.Random(9)
+    rows = [row(None, "w " * rng.randint(3, 7), "en", s) for s in "abc" for _ in range(40)]
+    rows += [row(5, "v " * rng.randint(3, 7), "en", "d") for _ in range(30)] + [row(None, "u u u u", "en", s) for s in ("e", "f", None) for _ in range(90)]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(6)
+    size = {}
+    for r in rows:
+        size[r[3]] = size.get(r[3], 0) + len(r[1].split())
+    want = _targets(size)
+    for again in (df, df.repartition(3, "text")):
+        mixed = {}
+        for r in mixing.mix(again).collect():
+            mixed[r.source] = mixed.get(r.source, 0) + len(r.text.split())
+        assert all(abs(mixed.get(s, 0) - t) <= 4.5 for s, t in want.items()), (mixed, want)
+        plan = mixing.mix_plan(again).collect()
+        assert len(plan) == len(rows) and sum(r.taken for r in plan) == sum(mixed.values())
+        if again is df:
+            first = sorted(map(str, plan))
+    assert sorted(map(str, plan)) == first
+
+
+def test_water_filling_over_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {f"s{i:04}": rng.choice([0, 1, 5, 100, 10_000, rng.randint(0, 3000)]) for i in range(700)}
+    df = spark.createDataFrame([(False, k, v) for k, v in sizes.items()], "s_null boolean, s_key string, source_size long").repartition(5)
+    want = _targets(sizes)
+    got = {r.s_key: r.target for r in mixing.water_fill(df).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
 # op7
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
