@@ -11,6 +11,7 @@ import functools
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
+_NO_DIGIT = re.compile(r"[^0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -44,7 +46,7 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return _NO_DIGIT.sub("", text)
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -79,11 +81,11 @@ def base_spans(text: str) -> list[Span]:
 # Generators beyond the base patterns: what opens a text to one (cheap), its pattern, its kind.
 _SEPARATED = r"(?:[ .-]|\) ?)"
 _AT = re.compile(r"@|\(at\)|\[at\]| at ", re.I | re.A).search
-_ADDRESS = r"(?<![A-Za-z0-9._%+-])(?=([A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63}"
+_ADDRESS = r"(?<![A-Za-z0-9._%+-])(?=([A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]++"
 _GENERATORS: tuple[tuple[Callable[[str], object], re.Pattern, str], ...] = (
     # each beginning of a local part has a proposal, as the longest may swallow the next one's; with blanks around dots and without
-    (_AT, re.compile(rf"{_ADDRESS}(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]{{1,63}}){{1,8}}))", re.I | re.A), "email"),
-    (_AT, re.compile(rf"{_ADDRESS}(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.| dot )[A-Za-z0-9-]{{1,63}}){{1,8}}))", re.I | re.A), "email"),
+    (_AT, re.compile(rf"{_ADDRESS}(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]++)++))", re.I | re.A), "email"),
+    (_AT, re.compile(rf"{_ADDRESS}(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.| dot )[A-Za-z0-9-]++)++))", re.I | re.A), "email"),
     (lambda t: ":" in t, re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])"), "ip"),
     (lambda t: True, re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])"), "card"),
     (lambda t: True, re.compile(rf"(?<![0-9+.,])(?:\(?[0-9]{{2,4}}{_SEPARATED})(?:[0-9]{{2,4}}[ .-]){{1,3}}[0-9]{{2,4}}(?![0-9.,]?[0-9])"), "phone"),
@@ -120,11 +122,11 @@ def features(text: str, span: Span) -> list[float]:
     kind, start, end = span
     own, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 1]
     d = _digits(own)
-    groups = [len(g) for g in re.findall(r"[0-9]+", own)[:12]]
+    groups = [len(g) for g in re.findall(r"[0-9]+", own)]
     lead = before[-1:]
     return [
         *(float(kind == k) for k in KINDS),
-        float(len(own)), float(len(d)), len(d) / len(own), float(luhn(d)) if len(d) <= 40 else 0.0, float(len(groups)),
+        float(len(own)), float(len(d)), len(d) / len(own), float(luhn(d)), float(len(groups)),
         float(max(groups, default=0)), float(min(groups, default=0)), float(groups.count(4)), float(groups[:1] == [4] or groups[:1] == [3]),
         float(d[:1] in ("3", "4", "5", "6")), float("(" in own), float(own.count("-") + own.count(" ")), float(own.count(".")),
         float(bool(_WORDS[kind].search(before))), float(bool(_PLAIN.search(before))), float(lead.isalnum() or lead in ("#", "$", "€")),
@@ -258,6 +260,19 @@ def trained(n: int = 3000, seed: int = 11, precision: float = 0.97) -> Boosted:
     return Boosted(model.feature, model.cut, model.leaf, model.bias, limits)
 
 
+def held_out_rates(model: Boosted | None = None, n: int = 3000, seed: int = 99) -> dict[str, tuple[float, float]]:
+    """Precision and recall of the added spans by kind, on synthetic sentences that neither training nor calibration saw.
+    A span is right if it covers the true one and at most a character more at each side."""
+    model, right, said, there = model or trained(), Counter(), Counter(), Counter()
+    sentences = list(_synthetic(n, seed))
+    for (text, truth), (_, found) in zip(sentences, all_spans([t for t, _ in sentences], model)):
+        near = lambda a, b: a[0] == b[0] and b[1] - 1 <= a[1] <= b[1] and b[2] <= a[2] <= b[2] + 1
+        said.update(k for k, *_ in found)
+        there.update(k for k, *_ in truth)
+        right.update(t[0] for t in truth if any(near(s, t) for s in found))
+    return {k: (right[k] / max(said[k], 1), right[k] / max(there[k], 1)) for k in KINDS}
+
+
 def all_spans(own: list[str], model: Boosted) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text. Proposals are taken by score where they overlap nothing taken before."""
     base = [base_spans(t) for t in own]
@@ -311,8 +326,9 @@ _SCHEMA = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """doc_id, numbers of base spans by kind, a digest of them, and all spans (code points, end exclusive).
 
-    A null text is an empty one; a null id stays null; repeated rows are read again; other columns are not read; an empty
-    table gives no rows. Narrow: no shuffle.
+    A null text is an empty one; a null id stays null; repeated rows are read again; texts and spans of any length are read
+    whole; of overlapping proposals the likelier is taken, of equally likely ones the first by kind and place; other columns
+    are not read; an empty table gives no rows. Narrow: no shuffle.
     """
     model = model or trained()
     slim = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
@@ -337,7 +353,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", model: Boosted | None = None) -> DataFrame:
-    """df with all spans of the texts replaced and, if there is such a column, the number of code points brought up to date."""
+    """df with all spans of the texts replaced and, if there is such a column, the number of code points brought up to date.
+
+    A null text stays null; repeated rows are redacted alike; columns of any name stay; an empty table stays empty. Narrow."""
     model, schema = model or trained(), df.schema
     has_chars = chars_col in df.columns
 

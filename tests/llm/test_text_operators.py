@@ -538,8 +538,22 @@ def test_pii_secrets_of_any_length():
         assert pii.all_spans([text], model)[0][1] == [], n
 
 
+def test_pii_held_out_rates():
+    rates = pii.held_out_rates()
+    print(rates)
+    assert all(p >= 0.9 and r >= 0.6 for p, r in rates.values()), rates
+
+
+def test_pii_addresses_of_any_length():
+    model = pii.trained()
+    for own in ("j" * 90 + " at example dot com", "jane at " + "x" * 80 + " dot com", "jane at a dot " + " dot ".join("bcdefghijklm") + " dot com"):
+        text = f"please write to {own}, she answers soon"
+        assert any(text[a:b] == own for k, a, b in pii.proposals(text) if k == "email"), own
+        pii.all_spans([text], model)
+
+
 def test_pii_long_runs_are_linear():
-    for text in ("a" * 300_000, "1" * 300_000, "a@" * 50_000, "1." * 100_000, "+1 " * 50_000):
+    for text in ("a at " * 60_000, "a at b.c" * 40_000, "a(at)b.c.d" * 40_000, "x." * 100_000 + " at y", "a" * 300_000, "1" * 300_000, "a@" * 50_000, "1." * 100_000, "+1 " * 50_000):
         pii.all_spans([text], pii.trained())
 
 
