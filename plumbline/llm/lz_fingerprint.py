@@ -2,20 +2,23 @@
 phrase before), the set of phrases is hashed, and a one-permutation minimum hash of it is kept. Two fingerprints agree
 in about as many places as the phrase sets share of their union, which is near for texts that compress well together.
 
-The neighbour of a document in the order of ids is found without a global sort: ids are cut at quantiles into buckets,
-every bucket is ordered by itself, and the largest document below a bucket is sent to it as a guest. Texts are shuffled
-once; a task holds two documents.
+The neighbour of a document in the order of ids is found without a global sort: ids are cut at quantiles into buckets, an
+id that many rows share is cut further by a hash of their texts, every bucket is ordered by itself, and the largest
+document below a bucket is sent to it as a guest. Texts are shuffled once; a task holds two documents; equal texts that
+follow each other are parsed once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Batches, batch
 
@@ -145,10 +148,16 @@ _SCHEMA = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": p
 
 def _pairs(batches: Batches) -> Iterator[pa.RecordBatch]:
     done: list[tuple] = []
-
-    def settle(doc, own: Parsed, following: str, then: Parsed) -> None:
-        data, sig = own.edited(following)
-        done.append((doc, own.n, hashlib.sha256(data).hexdigest(), text_of(own.signature), text_of(sig), likeness(own.signature, sig), likeness(own.signature, then.signature)))
+    same: tuple[str, tuple] | None = None  # a text followed by itself, and what that gives
+
+    def settle(doc, text: str, own: Parsed, following: str, then: Parsed) -> None:
+        nonlocal same
+        if following is text or following == text:
+            if same is None or same[0] != text:
+                same = (text, paired(own, following, then))
+            done.append((doc, *same[1]))
+        else:
+            done.append((doc, *paired(own, following, then)))
 
     bucket, waiting = None, None
     for rows in batches:
@@ -157,52 +166,92 @@ def _pairs(batches: Batches) -> Iterator[pa.RecordBatch]:
                 bucket, waiting = own_bucket, None
             elif waiting is None and guest:
                 continue  # the guest has been used
-            now = Parsed(text)
+            now = waiting[2] if waiting and waiting[1] == text else Parsed(text)
             if waiting:
                 settle(*waiting, text, now)
-            waiting = None if guest else (doc, now)
+            waiting = None if guest else (doc, text, now)
         if done:
             yield batch(_SCHEMA, [list(c) for c in zip(*done)])
             done.clear()
 
 
-def _bucket_of(key: F.Column, cuts: list[int]) -> F.Column:
-    """How many cuts lie below the key, by halving."""
+def paired(own: Parsed, following: str, then: Parsed) -> tuple:
+    data, sig = own.edited(following)
+    return own.n, hashlib.sha256(data).hexdigest(), text_of(own.signature), text_of(sig), likeness(own.signature, sig), likeness(own.signature, then.signature)
+
+
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+
+
+def _cuts(quantiles: list[int], nulls: int, rows: int, n: int) -> list[tuple[int, int]]:
+    """Upper ends (id, hash) of all buckets but the last, in order. An id that is several quantiles is cut by hashes."""
+    often: dict[int, int] = {}
+    for q in quantiles:
+        often[q] = often.get(q, 0) + 1
+    if nulls:
+        often[_LOW] = often.get(_LOW, 0) + nulls * n // max(rows, 1) + 1
+    out = []
+    for q, times in sorted(often.items()):
+        out += [(q, _LOW + (1 << 64) * j // times) for j in range(1, times)]
+        out.append((q, _HIGH))
+    return out
+
+
+def _bucket_of(place: F.Column, cuts: list[tuple[int, int]]) -> F.Column:
+    """How many cuts lie below (id, hash), by bisection in one constant array, whatever their number."""
+    if not cuts:
+        return F.lit(0)
+    steps = len(cuts).bit_length()
+    ends = cuts + [(_HIGH, _HIGH)] * ((1 << steps) - 1 - len(cuts))
+    table = F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in ends])), "array<struct<k:bigint,h:bigint>>")
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(steps))))
+    return F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.element_at(table, at + half) < place, half).otherwise(0))
+
+
+def fingerprinted(df: DataFrame, text_col: str = "text", column: str = "fingerprint") -> DataFrame:
+    """df with the fingerprint of each text in a further column (a column of that name is replaced).
+
+    A null text is an empty one, whose fingerprint has no bytes; texts of any length are parsed whole; repeated rows get
+    equal fingerprints; an empty table stays empty. Narrow: no shuffle."""
+    kept = [c for c in df.columns if c != column or c == text_col]
+    own = df.select(*(df[c].alias(f"own_{i}") for i, c in enumerate(kept)), df[text_col].cast("string").alias("text"))
 
-    def part(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= cuts[mid], part(lo, mid)).otherwise(part(mid + 1, hi))
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = pa.array([fingerprint(t) for t in rows.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], found], names=[*rows.schema.names[:-1], "found"])
 
-    return part(0, len(cuts))
+    found = own.mapInArrow(run, StructType([*own.schema.fields[:-1], StructField("found", StringType())]))
+    return found.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(kept)), F.col("found").alias(column))
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last third is the head of the next document's.
 
-    Next is in descending id, after the last the first; rows of one id follow each other by text; a null id comes last.
-    A null text is an empty one, whose fingerprint has no bytes; a single row is its own next. Other columns are not read.
+    Next is in descending id, after the last the first; rows of one id follow each other by descending XXH64 (seed 42,
+    signed) of their texts, then by text; a null id comes last. A null text is an empty one, whose fingerprint has no bytes;
+    a single row is its own next; texts of any length are parsed whole; an empty table gives no rows. Other columns are not
+    read.
     """
     spark = df.sparkSession
-    lowest = F.lit(-(1 << 63)).cast("long")
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), F.coalesce(df[id_col].cast("long"), lowest).alias("key"))
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), F.coalesce(df[id_col].cast("long"), F.lit(_LOW)).alias("key"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = n_buckets or SPREAD * tasks
-    quantiles = rows.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
-    cuts = sorted({int(q) for q in quantiles})
-    rows = rows.withColumn("bucket", _bucket_of(F.col("key"), cuts))
-    # one row for each bucket, at most n_buckets
-    tops = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    goes = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    to = F.lit(None).cast("int")
-    if goes:
-        pairs = F.create_map(*(F.lit(x) for kv in goes.items() for x in kv))
-        to = F.element_at(pairs, F.col("key"))
-    both = rows.withColumn("to", to).select(
+    total, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    quantiles = rows.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 and total > nulls else []
+    cuts = _cuts([int(q) for q in quantiles], nulls if n > 1 else 0, total, n)
+    split = sorted({k for k, h in cuts if h != _HIGH})
+    # texts are hashed here for ids that are split alone; there are at most as many as buckets
+    part = F.when(F.col("key").isin(split), F.xxhash64("text")).otherwise(F.lit(0)) if split else F.lit(0)
+    rows = rows.withColumn("place", F.struct(F.col("key").alias("k"), part.cast("long").alias("h")))
+    rows = rows.withColumn("bucket", _bucket_of(F.col("place"), cuts))
+    # one row for each bucket
+    tops = rows.groupBy("bucket").agg(F.max("place").alias("top")).orderBy("bucket").collect()
+    goes = spark.createDataFrame([(r["top"]["k"], r["top"]["h"], tops[(i + 1) % len(tops)]["bucket"]) for i, r in enumerate(tops)], "k long, h long, to int")
+    both = rows.join(F.broadcast(goes.select(F.struct("k", "h").alias("top"), "to")), F.col("place") == F.col("top"), "left").select(
         F.explode(F.when(F.col("to").isNull(), F.array(F.struct("bucket", F.lit(False).alias("guest")))).otherwise(
             F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("guest"))))).alias("b"),
         "key", "doc_id", "text",
     ).select("b.bucket", "b.guest", "key", "doc_id", "text")
-    ordered = both.repartition(tasks, "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.mapInArrow(_pairs, ", ".join(f"{n} {t}" for n, t in _FIELDS))
+    ordered = both.repartition(tasks, "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), F.xxhash64("text").desc(), "text")
+    return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(_pairs, ", ".join(f"{n} {t}" for n, t in _FIELDS))

@@ -713,7 +713,8 @@ def test_phrase_hashes_do_not_depend_on_blocks(monkeypatch):
 @pytest.mark.parametrize("buckets", [1, 4])
 def test_edited_fingerprints(hostile, empty, buckets):
     df, rows = hostile
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    hashed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashed(r[1]), r[1]))
     want = []
     for i, (d, t, _) in enumerate(order):
         following = order[(i + 1) % len(order)][1]
@@ -725,6 +726,60 @@ def test_edited_fingerprints(hostile, empty, buckets):
     assert lz_fingerprint.edited_fingerprints(empty, n_buckets=buckets).collect() == []
 
 
+def test_edited_fingerprints_split_an_id_of_many_rows(spark):
+    """Most rows share an id, or have none; the order is one over all buckets, and equal rows are each a row."""
+    rng = random.Random(12)
+    rows = [row(7, " ".join(rng.choice(BASE.split()) for _ in range(rng.randint(0, 9)))) for _ in range(150)] + [row(None, f"no id {i % 40}") for i in range(120)]
+    rows += [row(i, f"text {i}") for i in range(30)] + [row(9, "equal rows of text")] * 40
+    df = spark.createDataFrame(rows, COLUMNS).repartition(5)
+    hashed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    order = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -hashed(r[1]), r[1]))
+    want = []
+    for i, (d, t) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    for n in (1, 2, 16, 64):
+        found = lz_fingerprint.edited_fingerprints(df, n_buckets=n)
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in found.collect()) == sorted(want), n
+    cuts = lz_fingerprint._cuts([5, 7, 7, 7, 9], 120, 340, 16)
+    assert cuts == sorted(cuts) and len(set(cuts)) == len(cuts) and sum(k == 7 for k, _ in cuts) == 3
+
+
+def test_buckets_by_bisection(spark):
+    cuts = [(i * 10, lz_fingerprint._HIGH) for i in range(1, 10_000)]
+    df = spark.range(0, 110_000, 7).selectExpr("struct(id AS k, 0L AS h) AS place")
+    found = df.select("place.k", lz_fingerprint._bucket_of(df["place"], cuts).alias("b")).collect()
+    assert all(r.b == min(max((r.k - 1) // 10, 0), 9999) for r in found)
+
+
+def test_likeness_estimates_the_share_of_phrases(hostile, empty):
+    rng, errors = random.Random(21), []
+    words = [w + str(i) for i, w in enumerate(BASE.split() * 8)]
+    for k in range(60):
+        one = [rng.choice(words) for _ in range(600)]
+        two = one[: 10 * k] + [rng.choice(words) for _ in range(600 - 10 * k)]
+        a, b = " ".join(one), " ".join(two)
+        p, q = set(_phrases(a.encode())), set(_phrases(b.encode()))
+        errors.append(lz_fingerprint.likeness(lz_fingerprint.Parsed(a).signature, lz_fingerprint.Parsed(b).signature) - len(p & q) / len(p | q))
+    assert max(map(abs, errors)) < 0.16 and sum(map(abs, errors)) / len(errors) < 0.05 and abs(sum(errors)) / len(errors) < 0.02
+    df, rows = hostile
+    found = lz_fingerprint.edited_fingerprints(df).collect()
+    by_id = {d: t for d, t, _ in rows if d != 3}
+    ids = sorted((d for d in by_id if d is not None), reverse=True)
+    for r in found:
+        if r.doc_id in (14, 13, 12, 11, 10, 9):
+            following = by_id[ids[ids.index(r.doc_id) + 1]]
+            own = by_id[r.doc_id]
+            edited = own[: len(own) - len(own) // 3] + following[: len(own) // 3]
+            for near, other in ((r.near_edited, edited), (r.near_next, following)):
+                p, q = set(_phrases(own.encode())), set(_phrases(other.encode()))
+                assert abs(near - len(p & q) / len(p | q)) < 0.16
+    named = lz_fingerprint.fingerprinted(df)
+    assert named.columns == [*df.columns, "fingerprint"] and {r.doc_id: r.fingerprint for r in named.collect()}[9] == lz_fingerprint.fingerprint(by_id[9])
+    assert lz_fingerprint.fingerprinted(empty).collect() == []
+
+
 def test_likeness():
     a, b = lz_fingerprint.Parsed(BASE * 20), lz_fingerprint.Parsed("entirely other words stand in this text, none of which the first one has " * 10)
     assert lz_fingerprint.likeness(a.signature, a.signature) == 1 and lz_fingerprint.likeness(a.signature, b.signature) < 0.4
