@@ -624,43 +624,79 @@ def _hostile_bytes(rng):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("broadcast", [10**6, -1])
-def test_repeated_strings(spark, broadcast):
+def _hashed(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64))
+
+
+@pytest.mark.parametrize("broadcast,hot", [(10**6, False), (-1, False), (10**6, True)])
+def test_repeated_strings(spark, broadcast, hot):
+    """Against brute force, with rows that share an id, rows without one, unequal texts under both, and anchors dealt out."""
     rows = _hostile_bytes(random.Random(8))
-    df = spark.createDataFrame([row(i, t) for i, t in rows] + [row(3, rows[3][1])], COLUMNS).repartition(5)
-    got = {r.doc_id: tuple(r)[1:] for r in exact_substrings.remove_repeats(df, broadcast_rows=broadcast).collect()}
-    assert got == _repeats([(i, t.encode()) for i, t in rows])
+    for share in (False, True):
+        own = [(i // 3 if share and i % 4 else i if i % 5 or not share else None, t) for i, t in rows]
+        df = spark.createDataFrame([row(i, t) for i, t in own] + [row(*own[3])], COLUMNS).repartition(5)
+        heavy = None
+        if hot:
+            every = np.unique(np.concatenate([exact_substrings._runs(*g)[3] >> np.uint64(24) for g in exact_substrings.groups_of([t.encode() for _, t in rows])])).view(np.int64)
+            heavy = exact_substrings.Heavy(every[::2], 2 + np.arange(len(every[::2])) % 5)
+        found = exact_substrings.remove_repeats(df, broadcast_rows=broadcast, heavy=heavy).collect()
+        order = sorted({(i is not None, i or 0, _hashed(t) if share else 0, t) for i, t in own})
+        want = _repeats([((i if there else None, t), t.encode()) for there, i, _, t in order])
+        assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in found) == sorted((str(i), *want[i, t]) for i, t in [*own, own[3]])
+
+
+def test_unequal_texts_of_one_id_keep_what_is_not_repeated(spark):
+    rng = random.Random(1)
+    v, u = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    df = spark.createDataFrame([row(1, v), row(2, u), row(2, v), row(None, u)], COLUMNS)
+    assert sorted((str(r.doc_id), r.n_removed) for r in exact_substrings.remove_repeats(df).collect()) == [("1", 0), ("2", 400), ("2", 400), ("None", 0)]
+    out = exact_substrings.without_repeats(df)
+    assert out.columns == [*df.columns, "begins", "ends", "kept"]
+    kept = {(r.doc_id, r.text): bytes(r.kept).decode() for r in out.collect()}
+    assert kept == {(1, v): v, (2, u): "", (2, v): "", (None, u): u}
+
+
+def test_suffix_sort_with_colliding_hashes(monkeypatch):
+    """Groups of suffixes against a dict, also where full hashes collide."""
+    rng = random.Random(5)
+    data = np.frombuffer("".join(rng.choice(["ab", "abc", "x" * 40, "abab" * 9]) for _ in range(900)).encode(), np.uint8)
+    start = np.array(sorted(rng.sample(range(len(data) - 100), 4000)))
+    group = np.sort(np.array([rng.randint(0, 2) for _ in start]))
+    suffixes = exact_substrings.Suffixes(data)
+    seen, want = set(), []
+    for s, g in zip(start.tolist(), group.tolist()):
+        own = (g, data[s : s + 100].tobytes())
+        want.append(own in seen)
+        seen.add(own)
+    hashes = exact_substrings.string_hashes(suffixes.sums, start, 100)
+    assert any(want) and suffixes.repeats(start, group, hashes).tolist() == want
+    assert suffixes.repeats(start, group, hashes % np.uint64(3)).tolist() == want
 
 
 def test_repeats_in_small_segments_and_batches(spark, monkeypatch):
     """The same over segments of 256 bytes and batches of a few rows, without Spark."""
     monkeypatch.setattr(exact_substrings, "SEGMENT", 256)
-    rows = [(i, t.encode()) for i, t in _hostile_bytes(random.Random(9))]
-    batch = exact_substrings.batch
+    rows = [(i, 0, t.encode()) for i, t in _hostile_bytes(random.Random(9))]
+    batch, long = exact_substrings.batch, exact_substrings.pa.int64()
     feed = lambda schema, own, k: (batch(schema, [list(c) for c in zip(*own[i : i + k])]) for i in range(0, len(own), k))
-    docs = exact_substrings.pa.schema([("doc", exact_substrings.pa.int64()), ("text", exact_substrings.pa.binary())])
-    chunks = [tuple(r.values()) for b in exact_substrings._chunks(True)(feed(docs, rows, 3)) for r in b.to_pylist()]
-    ranges = []
-    first = {}
-    for c in sorted(chunks, key=lambda c: c[2:4]):
-        if c[:2] in first:
-            ranges.append(c[2:5])
-        first.setdefault(c[:2], c)
-    runs = [tuple(r.values()) for b in exact_substrings._unpack(feed(exact_substrings._CHUNK, list(first.values()), 2)) for r in b.to_pylist()]
-    out = [tuple(r.values()) for b in exact_substrings._sort_out(feed(exact_substrings._ANCHOR, sorted(runs), 2)) for r in b.to_pylist()]
-    again = [tuple(r.values()) for b in exact_substrings._sort_out(feed(exact_substrings._ANCHOR, sorted(runs), 10**6)) for r in b.to_pylist()]
+    none = exact_substrings.Heavy(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    docs = exact_substrings.pa.schema([("doc", long), ("tag", long), ("text", exact_substrings.pa.binary())])
+    runs = [tuple(r.values()) for b in exact_substrings._run_rows(lambda: none)(feed(docs, rows, 3)) for r in b.to_pylist()]
+    out = [tuple(r.values()) for b in exact_substrings._sort_out(feed(exact_substrings._RUN, sorted(runs), 2)) for r in b.to_pylist()]
+    again = [tuple(r.values()) for b in exact_substrings._sort_out(feed(exact_substrings._RUN, sorted(runs), 10**6)) for r in b.to_pylist()]
     assert sorted(out) == sorted(again)
-    ranges += [(d, s >> 14, s & 127) for d, s, copy in out if copy]
+    ranges = [(d, s >> 14, s & 127) for d, _, s, copy in out if copy]
     places = {}
-    for d, s, copy in out:
+    for d, _, s, copy in out:
         if not copy:
             places.setdefault(d, []).append((s >> 14) + (s >> 7 & 127))
     of = lambda b: lambda i: np.array(places.get(b.column("doc")[i].as_py(), []), np.int64)
-    contexts = [tuple(r.values()) for b in exact_substrings._contexts(of)(feed(docs, rows, 4)) for r in b.to_pylist()]
+    contexts = [tuple(r.values()) for b in exact_substrings._contexts(of, lambda: none)(feed(docs, rows, 4)) for r in b.to_pylist()]
     for k in (1, 3, 10**6):
-        found = ranges + [tuple(r.values()) for b in exact_substrings._compare(feed(exact_substrings._CONTEXT, sorted(contexts), k)) for r in b.to_pylist()]
-        want = _repeats(rows)
-        for d, data in rows:
+        twice = sorted([*contexts, *contexts])
+        found = ranges + [(r["doc"], r["start"], r["windows"]) for b in exact_substrings._compare(feed(exact_substrings._CONTEXT, twice, k)) for r in b.to_pylist()]
+        want = _repeats([(i, t) for i, _, t in rows])
+        for d, _, data in rows:
             spans = exact_substrings.covered([(s, n) for x, s, n in found if x == d])
             assert (sum(b - a for a, b in spans), len(spans)) == want[d][1:3], d
 
@@ -669,7 +705,7 @@ def test_repeats_of_nulls_and_empty(hostile, empty):
     df, _ = hostile
     got = {r.doc_id: r for r in exact_substrings.remove_repeats(df).collect()}
     assert got[4].n_bytes == 0 and got[2].n_removed == got[2].n_bytes > 0 and got[1].n_removed < got[1].n_bytes
-    assert exact_substrings.remove_repeats(empty).collect() == []
+    assert exact_substrings.remove_repeats(empty).collect() == [] and exact_substrings.without_repeats(empty).collect() == []
 
 
 # op10
