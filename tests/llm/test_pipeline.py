@@ -49,3 +49,33 @@ def test_packed_sequences_can_be_rebuilt(spark, sf):
         whole.setdefault(r.doc_id, []).extend(r.ids)
     encoder = Encoder()
     assert whole == {r.doc_id: [*map(int, encoder.ids(r.text or "")), 0] for r in docs.collect()}
+
+
+def test_run_takes_hostile_and_empty_tables(spark, sf, tmp_path):
+    schema = documents(spark, sf).schema
+    clean = [tuple(r) for r in documents(spark, sf).where("length(text) > 300").limit(60).collect()]
+    ids = max(r[0] for r in clean)
+    odd = [(None, None, None, None, None), (ids + 1, "", "en", "x", 0), (ids + 2, None, "en", None, 3), (ids + 3, "日本語の文章" * 50, "en", "x", 300), (None, clean[0][1], "en", None, 1)]
+    odd += [clean[1], clean[1], (ids + 4, clean[2][1] + " " + "write to jane@example.org now", clean[2][2], clean[2][3], 9), (ids + 5, " ".join(r[1] for r in clean) * 3, "en", "x", 1)]
+    for name, rows in (("odd", clean + odd), ("empty", []), ("bare", [(1, None, None, None, None)])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        pieces = corpus_pipeline.run(spark, str(folder)).collect()
+        if name != "odd":
+            assert pieces == []
+            continue
+        found = {r.doc_id for r in pieces}
+        assert not found & {ids + 1, ids + 2, ids + 3} and found <= {r[0] for r in rows}
+        assert len({clean[0][0], None} & found) <= 1
+        for s in {r.sequence_id for r in pieces}:
+            assert sum(r.length for r in pieces if r.sequence_id == s) <= 1024
+
+
+def test_run_leaves_one_folder(spark, sf, tmp_path):
+    documents(spark, sf).limit(30).write.parquet(str(tmp_path / "documents.parquet"))
+    jvm = spark._jvm.org.apache.hadoop.fs
+    shared = jvm.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    there = lambda: {p.getPath().getName() for p in shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(shared) if p.getPath().getName().endswith(".parquet")}
+    before = there()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len(there() - before) == 1
