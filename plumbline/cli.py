@@ -61,6 +61,9 @@ def main(argv: list[str] | None = None) -> int:
     registry = create_registry(load(spark, args.path, args.dialect))
     for line in sys.stdin:
         request = json.loads(line)
+        if "jsonrpc" in request:
+            server.serve(registry, [line])
+            continue
         print(server.call_tool(registry, request["tool"], request.get("arguments", {})), flush=True)
     return 0
 

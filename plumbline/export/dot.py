@@ -94,3 +94,17 @@ def pipeline_lineage(pipeline: Pipeline, most: int = 300) -> str:
 
 def lineage_path(pipeline: Pipeline, src: tuple[str, str], dst: tuple[str, str]) -> str:
     return path(pipeline.path(src, dst))
+
+
+def structure_from_lineage(graph: ColumnGraph) -> str:
+    """Units of a statement as boxes, as its column lineage tells them: what each reads and how many columns it gives."""
+    units: dict[str, int] = {}
+    for n in graph.nodes.values():
+        units[n.table_name] = units.get(n.table_name, 0) + 1
+    of = {n.full_name: n.table_name for n in graph.nodes.values()}
+    edges = dict.fromkeys((of[e.src], of[e.dst]) for e in graph.edges if e.src in of and e.dst in of and of[e.src] != of[e.dst])
+    body = []
+    for unit, columns in units.items():
+        said = f"{unit} ({columns})"
+        body.append(f"{_id(unit)} [label={_quoted(said)}];")
+    return _graph("structure", [*body, *(f"{_id(a)} -> {_id(b)};" for a, b in edges)])

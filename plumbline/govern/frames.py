@@ -45,12 +45,23 @@ def candidate_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(related, ["left_table", "right_table"], "left_anti")
 
 
-def observed_joins(edges: DataFrame) -> DataFrame:
-    """Pairs of columns that statements join on by equality, each once however it is written."""
-    on = edges.where("edge_type = 'join_predicate'").select("query_id", F.element_at("info", "join_condition").alias("said"), F.element_at("info", "join_side").alias("side"), "src").distinct()
-    left, right = (on.where(F.col("side") == s).select("query_id", "said", F.col("src").alias(s)) for s in ("left", "right"))
-    pairs = left.join(right, ["query_id", "said"]).where(F.size(F.split("said", " = ")) == 2)
-    return pairs.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct()
+def observed_joins(predicates: DataFrame) -> DataFrame:
+    """(a, b, n_queries): pairs of columns that statements join on by equality or USING, each once however it is written, and in
+    how many statements."""
+    on = predicates.distinct()
+    # USING (x, y) says several equalities: sides are matched by name
+    name = F.when(F.col("said").startswith("USING"), F.element_at(F.split("src", "[.]"), -1)).otherwise(F.lit(""))
+    left, right = (on.where(F.col("side") == s).select("query_id", "said", name.alias("name"), F.col("src").alias(s)) for s in ("left", "right"))
+    equal = (F.col("said").startswith("USING") | (F.size(F.split("said", " = ")) == 2)) & ~F.col("left").contains(":") & ~F.col("right").contains(":")
+    pairs = left.join(right, ["query_id", "said", "name"]).where(equal)
+    return pairs.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "query_id").groupBy("a", "b").agg(F.count_distinct("query_id").alias("n_queries"))
+
+
+def expand_tables(table_edges: DataFrame, selected: DataFrame, depth: int = 1) -> DataFrame:
+    """(table_name, depth): the selected tables and what they derive from, up to ``depth`` steps back, each at its nearest."""
+    start = selected.select(F.col("table_name").alias("node"))
+    found = traverse.reach(traverse.reversed_edges(table_edges), start, depth)
+    return found.groupBy(F.col("node").alias("table_name")).agg(F.min("depth").alias("depth"))
 
 
 def keyword_rank(columns: DataFrame, question: str, neighbours: DataFrame | None = None) -> DataFrame:

@@ -10,15 +10,15 @@ edges (at most LOCAL_ROWS rows of result) are walked on the driver instead, with
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources import shared_folder
+
 
-LOCAL_EDGES, LOCAL_ROWS = 200_000, 1_000_000
+LOCAL_EDGES, LOCAL_ROWS = 5_000, 1_000_000
 
 
 def _small(*frames: DataFrame) -> list[list[tuple]] | None:
@@ -96,14 +96,8 @@ def _node_type(edges: DataFrame, column: str = "src") -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -28,4 +28,7 @@ TVF_KINDS = {
     "system": {"table", "result_scan"},
 }
 TVF_KIND = {f: kind for kind, names in TVF_KINDS.items() for f in names}
-TVF_COLUMNS = {"flatten": ["value", "index", "key", "path", "this"], "explode": ["col"], "explode_outer": ["col"], "posexplode": ["pos", "col"], "posexplode_outer": ["pos", "col"], "range": ["id"], "generate_series": ["generate_series"], "sequence": ["col"]}
+TVF_COLUMNS = {
+    "generate_series": ["generate_series"], "generate_date_array": ["date"], "generate_timestamp_array": ["timestamp"], "sequence": ["value"], "generator": ["seq4"], "range": ["range"],
+    "flatten": ["value", "index", "key", "path", "this"], "explode": ["col"], "explode_outer": ["col"], "posexplode": ["pos", "col"], "posexplode_outer": ["pos", "col"],
+}

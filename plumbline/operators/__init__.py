@@ -1,6 +1,6 @@
 """Runnable operators, by query name, and DuckDB SQL for each."""
 
-from . import applied, lineage, relational
+from . import applied, documented, lineage, relational
 
-QUERIES = {**relational.QUERIES, **applied.QUERIES, **lineage.QUERIES}
-ORACLE = {**relational.ORACLE, **applied.ORACLE, **lineage.ORACLE}
+QUERIES = {**relational.QUERIES, **applied.QUERIES, **lineage.QUERIES, **documented.QUERIES}
+ORACLE = {**relational.ORACLE, **applied.ORACLE, **lineage.ORACLE, **documented.ORACLE}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import read_external, table
+from ..lineage import Pipeline
+from ..sources import read_external, register, shared_folder, table
 from . import changes, special
 
 
@@ -17,6 +20,43 @@ def tvf_read_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_external(spark, "read_parquet", f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
 
 
+def _written(spark: SparkSession, df: DataFrame, form: str) -> str:
+    path = f"{shared_folder(spark)}/{form}-{uuid.uuid4().hex}"
+    df.write.format(form).option("header", True).save(path)
+    return path
+
+
+def tvf_read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, table(spark, sf_dir, "nation"), "csv")
+    return read_external(spark, "read_csv", path).select("n_nationkey", "n_name")
+
+
+def tvf_read_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, table(spark, sf_dir, "nation"), "json")
+    return read_external(spark, "read_ndjson", path).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+def tvf_read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document: an array of rows."""
+    rows = table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value"))
+    return read_external(spark, "read_json", _written(spark, rows, "text")).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made by CREATE TABLE AS, rows inserted, and a view over it, all by running the pipeline; the view's rows."""
+    name = f"made_{uuid.uuid4().hex}"
+    statements = [
+        ("make", f"CREATE TABLE {name} USING parquet LOCATION '{shared_folder(spark)}/{name}' AS SELECT s_suppkey AS id, s_name AS name FROM supplier"),
+        ("add", f"INSERT INTO {name} SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 9000"),
+        ("show", f"CREATE OR REPLACE TEMPORARY VIEW view_of_{name} AS SELECT id, name FROM {name}"),
+    ]
+    register(spark, sf_dir, " ".join(s for _, s in statements))
+    out = Pipeline(spark, statements).run()
+    if out["failed"]:
+        raise RuntimeError(str(out["failed"]))
+    return spark.table(f"view_of_{name}")
+
+
 def window_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     return special.over_groups(part, F.count(F.lit(1)), ["p_brand"], [F.col("p_size").asc()], 2, 1, "n")
@@ -67,10 +107,14 @@ def recursive_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tvf_read_parquet, window_groups, join_asof, merge_upsert, update_emulated, delete_emulated, scd2_merge_insert, latest_writer, recursive_union_distinct)
+    for f in (tvf_read_parquet, tvf_read_csv, tvf_read_ndjson, tvf_read_json, insert_select, window_groups, join_asof, merge_upsert, update_emulated, delete_emulated, scd2_merge_insert, latest_writer, recursive_union_distinct)
 }
 
 ORACLE = {
+    "tvf_read_csv": "SELECT n_nationkey, n_name FROM nation",
+    "tvf_read_ndjson": "SELECT n_nationkey, n_name FROM nation",
+    "tvf_read_json": "SELECT n_nationkey, n_name FROM nation",
+    "insert_select": "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 9000",
     "tvf_read_parquet": "SELECT s_suppkey, s_nationkey FROM supplier",
     "window_groups": "SELECT p_partkey, p_brand, p_size, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n FROM part",
     "join_asof": """WITH p AS (SELECT user_id, ts, max(event_id) AS last_purchase FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)

@@ -92,11 +92,10 @@ ROWS: dict[str, tuple[dict[str, str], list[tuple]]] = {
         ],
     ),
     "observed_joins": (
-        {"a": "VARCHAR", "b": "VARCHAR"},
+        {"a": "VARCHAR", "b": "VARCHAR", "n_queries": "BIGINT"},
         [
-            ('nation.n_nationkey', 'staging.customer.nation_id'),
-            ('orders.o_orderkey', 'stg_orders:cte:lines.l_orderkey'),
-            ('staging.customer.customer_id', 'staging.orders.customer_id'),
+            ('nation.n_nationkey', 'staging.customer.nation_id', 1),
+            ('staging.customer.customer_id', 'staging.orders.customer_id', 1),
         ],
     ),
     "candidate_joins": (

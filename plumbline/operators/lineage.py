@@ -126,7 +126,7 @@ def pipeline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.observed_joins(warehouse(spark).edges())
+    return frames.observed_joins(warehouse(spark).join_predicates())
 
 
 def candidate_joins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,14 +45,56 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, unnest(range(len(string_split(p_type, ' ')))) AS pos FROM part",
     ),
     "lateral_flatten": (
-        "SELECT e.event_id, CAST(f.index AS BIGINT) AS index, f.value FROM events e, LATERAL posexplode(array(e.event_type, e.props)) AS f(index, value)",
-        "SELECT event_id, unnest(range(2)) AS index, unnest([event_type, props]) AS value FROM events",
+        "SELECT e.event_id, CAST(f.index AS BIGINT) AS index, f.value, f.path, CAST(f.seq AS BIGINT) AS seq, CAST(size(f.this) AS BIGINT) AS n_this FROM events e, LATERAL FLATTEN(input => array(e.event_type, e.props)) f",
+        "SELECT event_id, unnest(range(2)) AS index, unnest([event_type, props]) AS value, unnest(['[0]', '[1]']) AS path, CAST(1 AS BIGINT) AS seq, CAST(2 AS BIGINT) AS n_this FROM events",
+    ),
+    "tvf_generate_date_array": (
+        "SELECT CAST(d.date AS STRING) AS day FROM GENERATE_DATE_ARRAY('2020-02-27', '2020-03-02') AS d",
+        "SELECT CAST(CAST(x AS DATE) AS VARCHAR) AS day FROM range(DATE '2020-02-27', DATE '2020-03-03', INTERVAL 1 DAY) t(x)",
+    ),
+    "tvf_generate_timestamp_array": (
+        "SELECT CAST(g.timestamp AS STRING) AS at FROM GENERATE_TIMESTAMP_ARRAY('2020-01-01 00:00:00', '2020-01-02 00:00:00', INTERVAL 6 HOUR) AS g",
+        "SELECT strftime(x, '%Y-%m-%d %H:%M:%S') AS at FROM range(TIMESTAMP '2020-01-01', TIMESTAMP '2020-01-02 00:00:01', INTERVAL 6 HOUR) t(x)",
+    ),
+    "tvf_generator": ("SELECT seq4, seq4 * seq4 AS sq FROM TABLE(GENERATOR(ROWCOUNT => 40)) AS g", "SELECT CAST(range AS INT) AS seq4, CAST(range * range AS INT) AS sq FROM range(40)"),
+    "tvf_external_query": ("SELECT q.n_name FROM EXTERNAL_QUERY('connection', 'SELECT n_name FROM nation WHERE n_regionkey = 1') AS q", "SELECT n_name FROM nation WHERE n_regionkey = 1"),
+    "star_exclude": "SELECT * EXCLUDE (n_regionkey) FROM nation",
+    "top_n": ("SELECT TOP 7 o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7"),
+    "join_natural": "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region)",
+    "join_straight": ("SELECT n_name, r_name FROM nation STRAIGHT_JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "window_groups_sql": "SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM part",
+    "agg_string_ordered": "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey",
+    "agg_group_concat": ("SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name SEPARATOR '/') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '/' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_array_ordered": (
+        "SELECT c_nationkey, array_join(array_agg(c_name ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 3), ',') AS best FROM customer GROUP BY c_nationkey",
+        "SELECT c_nationkey, array_to_string(list(c_name ORDER BY c_acctbal DESC, c_custkey DESC)[1:3], ',') AS best FROM customer GROUP BY c_nationkey",
+    ),
+    "agg_array_concat": (
+        "SELECT n_regionkey, CAST(size(array_concat_agg(split(n_name, '_'))) AS BIGINT) AS n FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, CAST(sum(len(string_split(n_name, '_'))) AS BIGINT) AS n FROM nation GROUP BY n_regionkey",
+    ),
+    "agg_object_names": (
+        "SELECT r_regionkey, json_object_agg(r_name, r_regionkey) AS o, map_agg(r_name, r_regionkey)[r_name] AS m, jsonb_agg(r_name) AS a FROM region GROUP BY r_regionkey, r_name",
+        """SELECT r_regionkey, '{"' || r_name || '":' || r_regionkey || '}' AS o, r_regionkey AS m, '["' || r_name || '"]' AS a FROM region""",
+    ),
+    "agg_mode": ("SELECT l_returnflag, mode(l_linestatus) = max_by(s, n) AS most FROM (SELECT l_returnflag, l_linestatus, l_linestatus AS s, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem) GROUP BY l_returnflag", "SELECT DISTINCT l_returnflag, true AS most FROM lineitem"),
+    "agg_approx_quantiles": ("SELECT APPROX_QUANTILES(p_size, 4) AS q FROM part", "SELECT quantile_disc(p_size, [0, 0.25, 0.5, 0.75, 1]) AS q FROM part"),
+    "fn_json_operators": (
+        """SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k, concat('{"a":', props, '}') #>> '{a,k}' AS deep, concat('[', props, ']') -> 0 ->> 'k' AS first FROM events""",
+        "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k, props ->> 'k' AS deep, props ->> 'k' AS first FROM events",
+    ),
+    "fn_json_names": (
+        "SELECT event_id, json_extract_scalar(props, '$.k') AS a, json_value(props, '$.k') AS b, json_extract_string(props, '$.k') AS c, json_query(props, '$.k') AS d FROM events",
+        "SELECT event_id, props ->> '$.k' AS a, props ->> '$.k' AS b, props ->> '$.k' AS c, props ->> '$.k' AS d FROM events",
     ),
     "lateral_view_explode": (
         "SELECT s_suppkey, part_of_name FROM supplier LATERAL VIEW explode(split(s_name, '#')) x AS part_of_name",
         "SELECT s_suppkey, unnest(string_split(s_name, '#')) AS part_of_name FROM supplier",
     ),
-    "table_sample": ("SELECT s_suppkey, s_name FROM supplier TABLESAMPLE (100 PERCENT)", "SELECT s_suppkey, s_name FROM supplier"),
+    "table_sample": (
+        "SELECT n BETWEEN 0.2 * total AND 0.4 * total AS near_share, strays = 0 AS from_table FROM (SELECT count(*) AS n, count_if(l_orderkey IS NULL OR l_orderkey < 0) AS strays FROM lineitem TABLESAMPLE BERNOULLI (30)), (SELECT count(*) AS total FROM lineitem)",
+        "SELECT count(*) > 0 AS near_share, true AS from_table FROM lineitem",
+    ),
     # projections, filters, predicates
     "select_star": "SELECT * FROM nation",
     "star_except": ("SELECT * EXCEPT (c_acctbal, c_name) FROM customer", "SELECT * EXCLUDE (c_acctbal, c_name) FROM customer"),
@@ -150,7 +192,6 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT p_partkey, measure, v FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT (v FOR measure IN (size, price))",
         "SELECT p_partkey, 'size' AS measure, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part",
     ),
-    "insert_select": "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 9000",
 }
 
 

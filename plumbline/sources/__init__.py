@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,15 @@ def read_external(spark: SparkSession, function: str, path: str) -> DataFrame:
     if function == "read_ndjson":
         return reader.json(path)
     raise ValueError(f"no reader for {function}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables: the one the cluster names in spark.checkpoint.dir; without one (tests, a
+    laptop) a local folder."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -32,6 +32,42 @@ def tables_by_keywords(p: Pipeline, question: str, most: int = 8, least: int = 3
     return chosen + [t for t in ranked if t not in chosen][: max(0, least - len(chosen))]
 
 
+def expand_with_lineage(p: Pipeline, tables: list[str], depth: int = 1) -> list[str]:
+    """The tables, then what they derive from, level by level, up to ``depth`` levels; each once."""
+    created = {q.destination: q for q in p.queries.values() if q.destination and q.is_ddl}
+    ordered, level = list(dict.fromkeys(tables)), list(tables)
+    for _ in range(depth):
+        level = [s for t in level if t in created for s in sorted(created[t].sources) if s not in ordered]
+        level = list(dict.fromkeys(level))
+        ordered += level
+    return ordered
+
+
+def relationships(p: Pipeline, tables: list[str] | None = None) -> list[dict]:
+    """Which table derives from which, among the given ones."""
+    out = []
+    for q in p.queries.values():
+        for s in sorted(q.sources):
+            if q.destination and q.is_ddl and (tables is None or {s, q.destination} <= set(tables)):
+                out.append({"source": s, "target": q.destination, "type": "derives_from", "query_id": q.query_id})
+    return out
+
+
+def relationship_context(p: Pipeline, tables: list[str] | None = None) -> str:
+    found = relationships(p, tables)
+    return "\n".join(["How tables derive:", *(f"  {r['source']} -> {r['target']} (by {r['query_id']})" for r in found)]) if found else ""
+
+
+def lineage_context(p: Pipeline, table: str, columns: list[str] | None = None) -> str:
+    """For each column of a table, the source columns that it comes from in the end."""
+    out = []
+    for c in (columns or p.tables[table].columns)[:MAX_COLUMNS]:
+        ends = sorted({n.full_name for n in p.trace_backward(table, c)} - {f"{table}.{c}"})
+        if ends:
+            out.append(f"  {table}.{c} <- {', '.join(ends)}")
+    return "\n".join(["Where columns come from:", *out]) if out else ""
+
+
 def schema_context(p: Pipeline, tables: list[str] | None = None) -> str:
     out = []
     for name in (tables or list(p.tables))[:MAX_TABLES]:
