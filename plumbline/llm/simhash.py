@@ -236,7 +236,9 @@ def linked(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, hot: int =
         rows = cells.select("choice", "part", F.to_json(cell).alias("cell"), "fp", "weight", (F.col("home") <= F.col("other")).alias("tree"), (F.col("home") >= F.col("other")).alias("asks"))
     else:
         rows = rows.select("choice", "part", F.lit("").alias("cell"), "fp", "weight", F.lit(True).alias("tree"), F.lit(True).alias("asks"))
-    ordered = rows.repartition("choice", "part", "cell").sortWithinPartitions("choice", "part", "cell", "fp")
+    # a row here is many comparisons, so tasks are not put together by their bytes
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(tasks, "choice", "part", "cell").sortWithinPartitions("choice", "part", "cell", "fp")
     return ordered.mapInArrow(_search(cutting, radius), "fp long, n long, least long")
 
 
