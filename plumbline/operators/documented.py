@@ -6,6 +6,7 @@ engine. Queries return what the engine makes of the statement, oracles the rows
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import os
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..export import dot, files, orchestrators
 from ..govern import frames
+from ..graph import traverse
 from ..lineage import LineageBuilder, Pipeline, templates
 from ..lineage.paths import read_sql_files
 from ..lineage.registry import AGGREGATE_TYPE, TVF_COLUMNS
@@ -382,6 +384,92 @@ def _(spark, sf_dir):
     return [(s, rewrite(s)) for s, _ in CASES["dialect_rewrites"][2]]
 
 
+#: All edges of SHOP, by statement: what is read, what it goes into, how. A filter touches every output; a join's columns
+#: touch the outputs that name its right side; grouping leaves no edge of its own.
+@case("shop_edges", EDGE, [
+    ("raw.o.id", "stg.o.id", "direct_column"), ("raw.o.cust", "stg.o.cust", "direct_column"), ("raw.o.amount", "stg.o.amount", "expression"),
+    ("raw.o.state", "stg.o.id", "where_filter"), ("raw.o.state", "stg.o.cust", "where_filter"), ("raw.o.state", "stg.o.amount", "where_filter"),
+    ("raw.c.id", "stg.c.id", "direct_column"), ("raw.c.name", "stg.c.name", "direct_column"), ("raw.c.city", "stg.c.city", "direct_column"),
+    ("stg.c.name", "mart.r.name", "direct_column"), ("stg.o.amount", "mart.r.revenue", "aggregate"), ("stg.o.cust", "mart.r.name", "join_predicate"), ("stg.c.id", "mart.r.name", "join_predicate"),
+    ("stg.c.id", "mart.u.id", "direct_column"), ("stg.c.name", "mart.u.name", "direct_column"),
+])
+def _(spark, sf_dir):
+    return [(r.src, r.dst, r.edge_type) for r in shop(spark).edges().collect()]
+
+
+@case("shop_sources_of_all_outputs", {"output": "VARCHAR", "source": "VARCHAR"}, [
+    ("stg.o.id", "raw.o.id"), ("stg.o.id", "raw.o.state"), ("stg.o.cust", "raw.o.cust"), ("stg.o.cust", "raw.o.state"), ("stg.o.amount", "raw.o.amount"), ("stg.o.amount", "raw.o.state"),
+    ("stg.c.id", "raw.c.id"), ("stg.c.name", "raw.c.name"), ("stg.c.city", "raw.c.city"), ("mart.r.name", "raw.c.name"), ("mart.r.name", "raw.c.id"), ("mart.r.name", "raw.o.cust"), ("mart.r.name", "raw.o.state"),
+    ("mart.r.revenue", "raw.o.amount"), ("mart.r.revenue", "raw.o.state"), ("mart.u.id", "raw.c.id"), ("mart.u.name", "raw.c.name"),
+])
+def _(spark, sf_dir):
+    p = shop(spark)
+    starts = p.nodes().where("layer = 'output'").selectExpr("full_name AS node")
+    found = traverse.reach(traverse.reversed_edges(p.edges()), starts)
+    return [(r.start, r.node) for r in found.collect() if r.node.startswith("raw.")]
+
+
+@case("shop_comments", {"full_name": "VARCHAR", "description": "VARCHAR", "owner": "VARCHAR", "pii": "BOOLEAN"}, [("stg.c.name", "Full name", "crm", True)])
+def _(spark, sf_dir):
+    return [(r.full_name, r.description, r.owner, r.pii) for r in shop(spark).nodes().where("owner IS NOT NULL OR description IS NOT NULL OR pii").collect()]
+
+
+#: Personal data spreads along values, both to what is made of it and to what it is made of.
+@case("shop_personal_data", FULL_NAME, [("stg.c.name",), ("raw.c.name",), ("mart.r.name",), ("mart.u.name",)])
+def _(spark, sf_dir):
+    p = shop(spark)
+    p.propagate_metadata()
+    return [(n.full_name,) for n in p.pii_columns()]
+
+
+@case("shop_columns_csv", {"full_name": "VARCHAR"}, [
+    (f"{t}.{c}",) for t, own in (("raw.o", "id cust amount state"), ("raw.c", "id name city"), ("stg.o", "id cust amount"), ("stg.c", "id name city"), ("mart.r", "name revenue"), ("mart.u", "id name")) for c in own.split()
+])
+def _(spark, sf_dir):
+    lines = list(csv.reader(io.StringIO(files.columns_csv(shop(spark)))))
+    return [(dict(zip(lines[0], x))["full_name"],) for x in lines[1:]]
+
+
+@case("shop_coverage", {"table_name": "VARCHAR", "n_columns": "BIGINT", "described": "BIGINT", "owned": "BIGINT"}, [("raw.o", 4, 0, 0), ("raw.c", 3, 0, 0), ("stg.o", 3, 0, 0), ("stg.c", 3, 1, 1), ("mart.r", 2, 0, 0), ("mart.u", 2, 0, 0)])
+def _(spark, sf_dir):
+    return [(r.table_name, r.n_columns, r.described, r.owned) for r in frames.coverage(shop(spark).nodes()).collect()]
+
+
+@case("shop_search", {"table_name": "VARCHAR", "column_name": "VARCHAR"}, [("raw.c", "name"), ("stg.c", "name"), ("mart.r", "name"), ("mart.u", "name")])
+def _(spark, sf_dir):
+    return [tuple(r) for r in frames.search_columns(shop(spark).nodes(), "NAM").collect()]
+
+
+@case("shop_difference", {"full_name": "VARCHAR", "change": "VARCHAR", "field": "VARCHAR"}, [
+    ("stg.o.amount", "modified", "expression"), ("mart.r.revenue", "removed", None), ("mart.r.best", "added", None),
+])
+def _(spark, sf_dir):
+    changed = [(q, s.replace("amount * 2 AS", "amount * 3 AS").replace("sum(o.amount) AS revenue", "max(o.amount) AS best")) for q, s in SHOP]
+    a, b = shop(spark), Pipeline(spark, changed)
+    return [tuple(r) for r in frames.version_diff(a.nodes(), a.edges(), b.nodes(), b.edges()).collect()]
+
+
+#: id of a customer comes unchanged from raw.c.id into two tables of which neither feeds the other; so does no other column.
+@case("shop_candidate_joins", {"left_table": "VARCHAR", "left_column": "VARCHAR", "right_table": "VARCHAR", "right_column": "VARCHAR"}, [("mart.v", "who", "mart.w", "id")])
+def _(spark, sf_dir):
+    p = Pipeline(spark, [("c", "CREATE TABLE stg.c AS SELECT id, city FROM raw.c"), ("v", "CREATE TABLE mart.v AS SELECT id AS who FROM stg.c"), ("w", "CREATE TABLE mart.w AS SELECT id, upper(city) AS city FROM stg.c")])
+    return [(r.left_table, r.left_column, r.right_table, r.right_column) for r in frames.candidate_joins(p.nodes(), p.edges()).collect()]
+
+
+#: revenue: 1 in mart.r's columns. name: 1 in raw.c, stg.c (and a half for its description), mart.r and mart.u. Half of the best
+#: neighbour's own score is added.
+@case("shop_keyword_rank", {"table_name": "VARCHAR", "twice": "BIGINT"}, [("raw.c", 4), ("stg.c", 5), ("mart.r", 6), ("mart.u", 4), ("raw.o", 0), ("stg.o", 2)])
+def _(spark, sf_dir):
+    p = shop(spark)
+    columns = p.nodes().where("full_name NOT LIKE '%:%'").select("table_name", "column_name", "description")
+    return [(r.table_name, int(r.score * 2 + 0.5)) for r in frames.keyword_rank(columns, "revenue by name", p.table_edges()).collect()]
+
+
+@case("shop_levels", {"table_name": "VARCHAR", "level": "BIGINT"}, [("raw.o", 0), ("raw.c", 0), ("stg.o", 1), ("stg.c", 1), ("mart.r", 2), ("mart.u", 3)])
+def _(spark, sf_dir):
+    return [(r.node, r.level) for r in traverse.levels(shop(spark).table_edges()).collect()]
+
+
 def _edges(name: str) -> Callable[[SparkSession, str], DataFrame]:
     sql, schemas, _ = EDGES[name]
 
