@@ -44,6 +44,7 @@ CACHE_WORDS = 400_000
 UNDETERMINED = "und"
 
 _LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+_CODE = regex.compile(r"\S*[0-9]\S*")
 _LETTER = regex.compile(r"\p{L}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -343,15 +344,20 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 def accept(df: DataFrame, model: Model | None, text_col: str = "text", least: float = LEAST_EVIDENCE) -> DataFrame:
     """The rows written in one of the model's languages, with all their columns.
 
-    A text stays if single characters don't explain it much better than its likeliest language does: foreign languages,
-    scripts that no labelled text has, and random letters go; so do texts without a letter, empty and null ones, and all
-    rows where there is no model. Repeated rows stay or go together; an empty table stays empty. Narrow."""
+    A text stays if single characters don't explain it, or what is left of it without keys, numbers and the like, much better
+    than its likeliest language does: foreign languages, scripts that no labelled text has, and random letters go; so do
+    texts without a letter, empty and null ones, and all rows where there is no model. Repeated rows stay or go together; an
+    empty table stays empty. Narrow."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         predict = predictor(shared.value)
         for rows in batches:
-            langs, _, evidence = predict(rows.column(text_col).to_pylist())
+            own = rows.column(text_col).to_pylist()
+            langs, _, evidence = predict(own)
+            low = [i for i, e in enumerate(evidence.tolist()) if e < least and langs[i] != UNDETERMINED]
+            if low:  # a word with a digit in it is a code, which tells of no language
+                evidence[low] = np.maximum(evidence[low], predict([_CODE.sub(" ", own[i]) for i in low])[2])
             yield rows.filter(pa.array([x != UNDETERMINED and e >= least for x, e in zip(langs, evidence)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
