@@ -263,7 +263,8 @@ class _Scores(dict):
 def predictor(model: Model | None) -> Callable[[list[str | None]], tuple[list[str], np.ndarray, np.ndarray]]:
     """Language, score and evidence of each text of a batch. The score is the posterior with evidence tempered by the root of
     the number of words, as words of a text are not independent; the evidence says how much better the likeliest language
-    explains the text than single characters do, tempered alike, whatever the number of languages."""
+    explains the text than single characters do, tempered alike, whatever the number of languages; of three words or more the
+    one that speaks most against the language is left out, as a name or a key may."""
     scores = _Scores(model) if model else None
 
     def predict(own: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -281,7 +282,9 @@ def predictor(model: Model | None) -> Callable[[list[str | None]], tuple[list[st
         for i, at in rows.items():
             log = table[at].sum(axis=0) / np.sqrt(len(at))
             best = int(log[:-1].argmax())
-            langs[i], out[i], evidence[i] = model.languages[best], 1 / np.exp(log[:-1] - log[best]).sum(), log[best] - log[-1]
+            langs[i], out[i] = model.languages[best], 1 / np.exp(log[:-1] - log[best]).sum()
+            each = table[at, best] - table[at, -1]
+            evidence[i] = (each.sum() - (min(0.0, each.min()) if len(at) > 2 else 0.0)) / np.sqrt(len(at))
         return langs, out, evidence
 
     return predict
